@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, tokencount
 
 QUERIES = {
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op8_token_counts": tokencount.op8_token_counts,
 }
 ORACLES: dict[str, str] = {}
