@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import ship, table
 from .bpe import _q, portions, texts_of
 
-FIT_DOCS, TABLE_SIZE, CACHE, LIMIT = 2_000, 65_536, 300_000, 2_048
+FIT_DOCS, TABLE_SIZE, CACHE, LIMIT = 2_000, 65_536, 250_000, 2_048
 LONG = 64
 
 _counters: dict = {}
