@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, tokencount
+from . import bpe, pii, tokencount
 
 QUERIES = {
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_token_counts": tokencount.op8_token_counts,
+    "op9_pii": pii.op9_pii,
 }
 ORACLES: dict[str, str] = {}
