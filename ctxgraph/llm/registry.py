@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, tokencount
+from . import bpe, html, pii, tokencount
 
 QUERIES = {
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_token_counts": tokencount.op8_token_counts,
     "op9_pii": pii.op9_pii,
+    "op10_html_text": html.op10_html_text,
 }
 ORACLES: dict[str, str] = {}
