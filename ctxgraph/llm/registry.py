@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, html, pii, tokencount
+from . import bpe, html, pii, tokencount, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_token_counts": tokencount.op8_token_counts,
     "op9_pii": pii.op9_pii,
