@@ -42,7 +42,7 @@ class RankEncoder:
     alone.
     """
 
-    def __init__(self, path: str, pattern: str, cache: int = 400_000):
+    def __init__(self, path: str, pattern: str, cache: int = 250_000):
         import regex
 
         with open(path, "rb") as f:
@@ -303,7 +303,7 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> Iterator[str]:
         yield x.as_py() or ""
 
 
-def portions(batch: pa.RecordBatch, text: str, most: int = 32_000_000) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, text: str, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes of text, so that memory doesn't follow the texts' lengths."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
@@ -344,8 +344,9 @@ def decode(docs: DataFrame, ids: str = "token_ids", out: str = "decoded", vocabu
     def run(batches):
         own = encoder(path, pattern)
         for b in batches:
-            made = pa.array([own.decode(x.as_py() or b"") for x in b.column(ids)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [made], names=[*kept, out])
+            for part in portions(b, ids):
+                made = pa.array([own.decode(x.as_py() or b"") for x in part.column(ids)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [made], names=[*kept, out])
 
     return docs.mapInArrow(run, schema)
 
