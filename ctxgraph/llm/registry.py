@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html, pii, tokencount, toxicity
+from . import bpe, decontam, html, neardup, pii, tokencount, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontam.op4_decontamination,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_simhash_near_duplicates": neardup.op7_simhash_near_duplicates,
     "op8_token_counts": tokencount.op8_token_counts,
     "op9_pii": pii.op9_pii,
     "op10_html_text": html.op10_html_text,
