@@ -1,8 +1,73 @@
-"""Cleaning of a document table in stages. Each stage works on all that its predecessor kept."""
+"""Cleaning of a document table in stages: toxicity, near-duplicates, benchmark passages, personal data, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows of its predecessor and returns a DataFrame; all but the last
+return the columns of ``documents``. ``n_chars`` follows the text where a stage changes it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ctxgraph import session
+from ctxgraph.llm import bpe, decontam, neardup, pii, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go. The model learns from the labels of the rows at hand."""
+    session.ship(spark)
+    net = toxicity.fit(docs, session.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net).where("toxicity < 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document of the smallest id stays; of rows that share its id, one. Rows
+    without an id or a text are in no class and stay."""
+    session.ship(spark)
+    return neardup.representatives(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    session.ship(spark)
+    return decontam.find(docs, session.table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*docs.columns)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gets pseudonyms of the same form; no document goes."""
+    session.ship(spark)
+    out = pii.pseudonymise(docs)
+    return out.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, packed as little-endian unsigned 32-bit integers, with their number, in place of the text; decoded
+    again to a digest that shows the round trip."""
+    session.ship(spark)
+    ids = bpe.encode(docs).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), "token_ids")
+    return bpe.decode(ids).select(
+        "doc_id", "lang", "source", "n_chars",
+        F.expr("CAST(octet_length(token_ids) DIV 4 AS BIGINT)").alias("n_tokens"),
+        "token_ids",
+        (F.sha2("decoded", 256) == F.coalesce("text_sha256", F.sha2(F.lit(""), 256))).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", hide_personal_data),
+    ("tokens", tokenise),
+]
+
+#: SQL can't express the recurrent network, the graph search or the merges; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    docs = session.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = session.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
