@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html, neardup, pii, tokencount, toxicity
+from . import ann, bpe, decontam, html, neardup, pii, tokencount, toxicity
 
 QUERIES = {
+    "op1_cross_polytope_ann": ann.op1_cross_polytope_ann,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontam.op4_decontamination,
     "op6_byte_bpe": bpe.op6_byte_bpe,
