@@ -151,15 +151,15 @@ def shared_key_edges(spark, sf):
     return relations.shared_keys(pages.select(F.col("page_id").cast("string").alias("path"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("key")))
 
 
-_WORDS = "SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{6,12}')) AS word FROM benchmark) w"
+_WORDS = "SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{12,}')) AS word FROM benchmark) w"
 
 
-@query(f"""SELECT CAST(d.doc_id AS VARCHAR) AS src, w.word AS dst FROM documents d JOIN ({_WORDS}) w ON contains(d.text, w.word)
-AND regexp_matches(d.text, '(^|[^\\p{{L}}\\p{{N}}_./-])' || w.word || '($|[^\\p{{L}}\\p{{N}}_])')""")
+@query(f"""SELECT DISTINCT CAST(doc_id AS VARCHAR) AS src, w.word AS dst FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_./-]+')) AS run FROM documents) d
+JOIN ({_WORDS}) w ON regexp_extract(d.run, '^[\\p{{L}}\\p{{N}}_]+', 0) = w.word""")
 def mention_edges(spark, sf):
     """Documents and the words of benchmark items that they mention as whole words, by equi-join."""
     b = spark.read.parquet(f"{sf}/benchmark.parquet")
-    words = b.select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{6,12})"), F.lit(1))).alias("path")).distinct()
+    words = b.select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{12,})"), F.lit(1))).alias("path")).distinct()
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), "text")
     return relations.mentions(docs, words)
 
