@@ -31,8 +31,9 @@ from .bpe import _q, portions
 from .textvec import U
 
 WINDOW, STRIDE, HIDDEN, ATTEND = 64, 48, 12, 8
-WORDS, GRAMS, DIM_WORD, DIM_GRAM = 1 << 14, 1 << 14, 4, 8
-FIT_DOCS, FIT_BYTES, EPOCHS = 1_500, 1 << 16, 9
+WORDS = GRAMS = 1 << 14
+DIM_WORD, DIM_GRAM = 4, 8
+FIT_DOCS, FIT_BYTES, EPOCHS = 1_500, 1 << 15, 9
 f32 = np.float32
 
 
@@ -152,30 +153,36 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | float
         return float(labels[0]) if labels else 0.0
     rng = np.random.default_rng(seed)
     y = np.array(labels, f32)
-    parts = list(textvec.words(pa.array(texts, pa.string()), True))
-    word, gram, n, place, counts = [], [], [], [], []
-    for _, c, h, data, a, z in parts:
+    # smoothed log odds of a bucket's presence in toxic documents are counted run by run, as no document is in two
+    total = np.array([(y == 0).sum(), (y == 1).sum()], float)
+    seen = {"Ew": np.zeros((2, WORDS)), "Ec": np.zeros((2, GRAMS))}
+
+    def see(name: str, buckets: np.ndarray, docs: np.ndarray) -> None:
+        pairs = np.unique(docs * WORDS + buckets)
+        for c in (0, 1):
+            seen[name][c] += np.bincount(pairs[y[pairs // WORDS] == c] % WORDS, minlength=WORDS)
+
+    word, gram, n, place, counts, known = [], [], [], [], [], 0
+    for first, c, h, data, a, z in textvec.words(pa.array(texts, pa.string()), True):
         w, g, k, inverse = vocabulary(data, a, z, h) if len(h) else (np.zeros(0, np.int64),) * 4
-        place.append(inverse + sum(map(len, word)))
-        word.append(w), gram.append(g), n.append(k), counts.append(c)
+        if len(h):
+            # a word's grams count once for each document that has the word
+            own = np.unique(textvec.segments(c) * len(w) + inverse)
+            docs, ids = first + own // len(w), own % len(w)
+            see("Ew", w[ids], docs)
+            begins = np.cumsum(k) - k
+            flat = np.repeat(begins[ids], k[ids]) + np.arange(int(k[ids].sum())) - np.repeat(np.cumsum(k[ids]) - k[ids], k[ids])
+            see("Ec", g[flat], np.repeat(docs, k[ids]))
+        place.append((inverse + known).astype(np.int32))
+        known += len(w)
+        word.append(w.astype(np.int32)), gram.append(g.astype(np.int32)), n.append(k), counts.append(c)
     word, gram, n, place, counts = map(np.concatenate, (word, gram, n, place, counts))
     word, gram, n = np.append(word, 0), np.append(gram, 0), np.append(n, 1)  # for rows without words
     gram_first = np.cumsum(n) - n
-    doc = textvec.segments(counts)
     net = Network(rng)
-    # smoothed log odds of a bucket's presence in toxic documents
-    total = np.array([(y == 0).sum(), (y == 1).sum()], float)
-
-    def odds(buckets, docs, size):
-        pairs = np.unique(docs * size + buckets)
-        seen = [np.bincount(pairs[y[pairs // size] == c] % size, minlength=size) for c in (0, 1)]
-        lift = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
-        return (np.clip(lift, -3, 5) * np.minimum(1, (seen[0] + seen[1]) / 4)).astype(f32)
-
-    places_n = n[place]
-    gram_docs = np.repeat(doc, places_n)
-    gram_of = gram[np.repeat(gram_first[place], places_n) + np.arange(int(places_n.sum())) - np.repeat(np.cumsum(places_n) - places_n, places_n)]
-    net.p["Ew"][:, 0], net.p["Ec"][:, 0] = odds(word[place], doc, WORDS) / 2, odds(gram_of, gram_docs, GRAMS) / 2
+    for name, (clean, toxic) in seen.items():
+        lift = np.log((toxic + 0.5) / (total[1] + 1)) - np.log((clean + 0.5) / (total[0] + 1))
+        net.p[name][:, 0] = np.clip(lift, -3, 5) * np.minimum(1, (clean + toxic) / 4) / 2
     row, begin, size = windows(counts)
     x0 = net.vectors(word, gram, n)
     lead = (x0[:, 0] + x0[:, DIM_WORD])[np.append(place, len(word) - 1)]
