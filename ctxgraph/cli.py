@@ -8,6 +8,7 @@ from pathlib import Path
 
 from . import config as settings
 
+CHOICES = {"--format": "md txt", "--path-base": "cwd project", "--support-content": "auto full tree_only"}
 OK, INVALID, USER, INTERRUPTED = 0, 1, 2, 130
 
 
@@ -16,18 +17,16 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("paths", nargs="*", default=["."])
     p.add_argument("--profile", choices=sorted(settings.PROFILES))
     p.add_argument("--config")
-    p.add_argument("--path-base", choices=["project", "cwd"], default="project")
     for name in ("modules", "support", "only-tree"):
         p.add_argument(f"--{name}", action=argparse.BooleanOptionalAction)
-    p.add_argument("--support-content", choices=["full", "auto", "tree_only"])
     for name in ("max-files", "max-tokens", "min-score"):
         p.add_argument(f"--{name}", type=int)
+    for name, values in CHOICES.items():
+        p.add_argument(name, choices=values.split(), default="project" if name == "--path-base" else None)
     p.add_argument("--project", action="store_true")
-    p.add_argument("--format", choices=["md", "txt"])
     p.add_argument("--output")
-    for name in ("dry-run", "timings", "explain", "explain-selection", "explain-graph", "init", "force", "validate-config", "version"):
+    for name in ("dry-run", "timings", "explain", "explain-selection", "explain-graph", "init", "force", "validate-config", "no-graph-html", "version"):
         p.add_argument(f"--{name}", action="store_true")
-    p.add_argument("--no-graph-html", action="store_true")
     p.add_argument("--why", metavar="FILE")
     for name in ("json", "html", "dot", "mermaid"):
         p.add_argument(f"--graph-{name}", metavar="FILE")
@@ -69,7 +68,8 @@ def _run(a, spark) -> int:
 
     spark = spark or SparkSession.builder.appName("ctxgraph").getOrCreate()
     ship(spark)
-    options = dict(config_path=a.config, profile=a.profile, output=a.output, output_format=a.format, only_tree=a.only_tree, modules=a.modules, support=a.support, max_files=a.max_files, max_tokens=a.max_tokens, min_score=a.min_score, support_content=a.support_content, project=a.project, path_base=a.path_base)
+    same = "profile output max_files max_tokens min_score modules only_tree path_base project support support_content"
+    options = {k: getattr(a, k) for k in same.split()} | {"config_path": a.config, "output_format": a.format}
     looking = a.dry_run or a.explain_graph or a.why or any((a.graph_json, a.graph_html, a.graph_dot, a.graph_mermaid))
     err = lambda *x: print(*x, file=sys.stderr)
     if looking:

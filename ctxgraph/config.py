@@ -20,23 +20,22 @@ def _both(stem: str) -> list[str]:
 
 
 CODE = _every("astro c cpp css go h hpp htm html java js jsx kt less py pyi rs sass scss svelte ts tsx vue")
-_LOCKS = ["Cargo.lock", "Pipfile.lock", "go.sum", "package-lock.json", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "yarn.lock"]
+_LOCKS = "Cargo.lock Pipfile.lock go.sum package-lock.json pnpm-lock.yaml poetry.lock uv.lock yarn.lock".split()
 _COMPOSE = _both("docker-compose")
-_TOOLS = [".ruff.toml", "mypy.ini", "pytest.ini", "pyproject.toml", "requirements.txt", "requirements/*.txt", "ruff.toml", "tox.ini"]
+_TOOLS = ".ruff.toml mypy.ini pytest.ini pyproject.toml requirements.txt requirements/*.txt ruff.toml tox.ini".split()
 _SHARED = [".env.example", ".env.template", *_both(".github/workflows/*"), "Cargo.toml", "Dockerfile", "Dockerfile.*", "README.md", "go.mod", *_COMPOSE, *_TOOLS]
 SUPPORT = sorted({
     *_every("json lock svg toml"), *_LOCKS, *_SHARED, *_both("compose"), *(f"config/*.{x}" for x in "json toml yaml yml".split()), *(f"settings/*.{x}" for x in "toml yaml yml".split()),
-    ".gitlab-ci.yml", ".pre-commit-config.yaml", "CHANGELOG.md", "CONTRIBUTING.md", "Pipfile", "README.rst", "docs/**/*.md", "package.json", "setup.cfg", "setup.py", "tsconfig.json", "vite.config.*", "webpack.config.*",
+    *".gitlab-ci.yml .pre-commit-config.yaml CHANGELOG.md CONTRIBUTING.md Pipfile README.rst docs/**/*.md package.json setup.cfg setup.py tsconfig.json vite.config.* webpack.config.*".split(),
 })
 FULL = sorted({*_every("json toml"), *_SHARED})
 TREE_ONLY = sorted({*_every("lock svg"), *_LOCKS})
 HARD_IGNORE = [f"{x}/**" for x in ".ctxgraph .git .hg .idea .mypy_cache .next .pytest_cache .ruff_cache .svn .turbo .venv __pycache__ build dist env node_modules target venv".split()]
 
-SCORING = {
-    "seed_file": 100, "seed_folder_file": 100, "entrypoint_file": 90, "direct_dependency": 90, "reverse_dependency": 85, "code_file": 80, "related_test": 80,
-    "same_package": 65, "test_file": 60, "support_near_seed": 60, "parent_entrypoint": 60, "project_config": 55, "dependency_file": 52, "runtime_support": 50,
-    "name_similarity": 45, "documentation": 45, "other_file": 40, "shared_dependency_bonus": 10,
-}
+SCORING = {key: points for points, keys in {
+    100: "seed_file seed_folder_file", 90: "direct_dependency entrypoint_file", 85: "reverse_dependency", 80: "code_file related_test", 65: "same_package",
+    60: "parent_entrypoint support_near_seed test_file", 55: "project_config", 52: "dependency_file", 50: "runtime_support", 45: "documentation name_similarity", 40: "other_file", 10: "shared_dependency_bonus",
+}.items() for key in keys.split()}
 PROFILES = {
     "audit": {"dependency_file": 90, "documentation": 70, "project_config": 90, "runtime_support": 85, "test_file": 80},
     "debug": {"direct_dependency": 90, "reverse_dependency": 80, "runtime_support": 80, "support_near_seed": 80, "test_file": 70},
@@ -49,17 +48,17 @@ LLM_PROFILES = ("gpt", "focused-gpt", "full")
 
 @dataclass(frozen=True)
 class Modules:
-    enabled: bool = True
+    content_min_score: int = 50
+    tree_min_score: int = 30
     depth: int = 2
-    include_direct_dependencies: bool = True
-    include_reverse_dependencies: bool = True
+    top_dependencies: int = 10
     include_tests: bool = True
-    include_same_package: bool = True
+    include_direct_dependencies: bool = True
     include_parent_entrypoints: bool = True
     include_project_configs: bool = True
-    top_dependencies: int = 10
-    content_min_score: int = 50
-    tree_min_score: int = 30
+    include_reverse_dependencies: bool = True
+    include_same_package: bool = True
+    enabled: bool = True
     scoring: dict = field(default_factory=lambda: dict(SCORING))
 
 
@@ -96,10 +95,10 @@ class Cache:
 class Config:
     format: str = "md"
     output: str = ".ctxgraph/pack.md"
+    use_gitignore: bool = True
+    support: bool = True
     only_tree: bool = False
     modules: bool = True
-    support: bool = True
-    use_gitignore: bool = True
     max_files: int = 0
     max_tokens: int = 0
     min_score: int = 45

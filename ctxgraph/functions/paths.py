@@ -55,7 +55,7 @@ def _translate(glob: str, star: str = ".*", any_one: str = ".") -> str:
             if end < 0:
                 out.append(r"\[")
             else:
-                inside = glob[i:end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+                inside = re.sub(r"[\\\[]|&(?=&)", r"\\\g<0>", glob[i:end])
                 out.append("[" + ("^" + inside[1:] if inside[0] == "!" else "\\" + inside if inside[0] == "^" else inside) + "]")
                 i = end + 1
         else:
@@ -70,7 +70,7 @@ def glob_regex(pattern: str) -> str | None:
     whole path; a pattern without a slash also tries the name; ``**/`` may be left out, for the path and the name; and
     last the pattern may match the last parts of the path, part by part.
     """
-    pattern = pattern.replace("\\", "/").strip()
+    pattern = "/".join(pattern.split("\\")).strip()
     if not pattern:
         return None
     pattern = pattern[1:] if pattern.startswith("/") else pattern
@@ -120,7 +120,7 @@ def ignored(path: Column, rules: list[tuple[bool, str]]) -> Column:
     """The last rule that matches decides; a negated one keeps the path."""
 
     def one(pattern: str) -> Column:
-        pattern = pattern.replace("\\", "/").strip().removeprefix("/")
+        pattern = "/".join(pattern.split("\\")).strip().removeprefix("/")
         if pattern.endswith("/"):
             folder = pattern.strip("/")
             return (path == folder) | F.startswith(path, F.lit(folder + "/"))

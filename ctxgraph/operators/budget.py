@@ -84,7 +84,7 @@ def fold(rows: DataFrame, order: list, columns: list[str], step: Callable, state
     return spark.read.schema(out).parquet(path)
 
 
-WEIGHTS = {"full": 1.0, "excerpt": 0.25, "outline": 0.12, "tree": 0.02, "omit": 0.0}
+WEIGHTS = dict(zip("full excerpt outline tree omit".split(), (1.0, 0.25, 0.12, 0.02, 0.0)))
 TARGET, HARD = 30_000, 100_000
 
 

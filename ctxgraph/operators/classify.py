@@ -36,7 +36,7 @@ def support_category(path: Column) -> Column:
         .when(starts(name, "Dockerfile", "docker-compose", "compose"), "runtime support")
         .when(starts(path, r"\.github/workflows/") | (name == ".gitlab-ci.yml"), "ci support")
         .when(starts(name, r"\.env") | starts(path, "config/", "settings/"), "runtime config")
-        .when(name.isin(".pre-commit-config.yaml", "tsconfig.json") | starts(name, r"vite\.config", r"webpack\.config"), "tooling config")
+        .when(name.isin("tsconfig.json", ".pre-commit-config.yaml") | starts(name, r"vite\.config", r"webpack\.config"), "tooling config")
         .otherwise("support file")
     )
 

@@ -38,7 +38,7 @@ def stats(edges: DataFrame) -> DataFrame:
     return n.crossJoin(nodes(edges).agg(F.count("*").alias("nodes"))).withColumn("avg_degree", F.coalesce(F.try_divide(2.0 * F.col("edges"), F.col("nodes")), F.lit(0.0)))  # one row each
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def pagerank(edges: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, iterations: int = 100) -> DataFrame:
     """(node, rank) over distinct links; a node without links out spreads its rank evenly."""
     links = adjacency(edges)
     out = links.groupBy("src").agg(F.count("*").alias("k"))

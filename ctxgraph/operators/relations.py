@@ -68,7 +68,7 @@ def same_package(files: DataFrame, texts: DataFrame | None = None, most: int = P
 def env_keys(text) -> F.Column:
     """Environment keys that a text reads, once each, sorted."""
     key, quote = "([A-Za-z0-9_]+)", "[\"']"
-    forms = [rf"os\.environ(?:\[|\.get\(){quote}{key}{quote}", rf"os\.getenv\({quote}{key}{quote}\)", rf"process\.env\.{key}", rf"process\.env\[{quote}{key}{quote}\]"]
+    forms = [rf"os\.environ(?:\.get[(]|\[){quote}{key}{quote}", rf"os\.getenv\({quote}{key}{quote}\)", rf"process\.env\.{key}", rf"process\.env\[{quote}{key}{quote}\]"]
     found = [F.regexp_extract_all(text, F.lit(form), F.lit(1)) for form in forms]
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
@@ -90,7 +90,7 @@ def env_key(files: DataFrame, texts: DataFrame) -> DataFrame:
 
 def is_config_name(path) -> F.Column:
     name = F.lower(paths.name(path))
-    return name.isin("dockerfile", "package.json", "pyproject.toml", "setup.py") | F.lower(paths.suffix(path)).isin(".json", ".toml", ".yaml", ".yml")
+    return name.isin("dockerfile", "package.json", "pyproject.toml", "setup.py") | F.lower(paths.suffix(path)).isin(*[f".{x}" for x in "json toml yaml yml".split()])
 
 
 def is_doc_name(path) -> F.Column:

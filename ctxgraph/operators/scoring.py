@@ -16,6 +16,7 @@ from ..functions import text as T
 from . import graph
 
 REASON = "path string, score int, kind string, label string, seed string, seed_ord long, branch int"
+ROOT_LABEL = "project config/root file"
 PINNED = ("pyproject.toml", "README.md")
 
 #: Kind: (text for one, text for more than one with the count, text without an example).
@@ -95,7 +96,7 @@ def focused_reasons(files: DataFrame, edges: DataFrame, seeds: DataFrame, config
         out.append(_branch(rows, 7, s("name_similarity"), "name_similarity", named("name similarity with "), F.col("seed"), F.col("seed_ord")))
         if config.support:
             support = f.where("kind = 'support'").withColumn("base", support_base(F.col("support_category"), config)).withColumn("category", F.coalesce("support_category", F.lit("support file")))
-            out.append(_branch(support.where("name = 'pyproject.toml'"), 8, s("project_config"), "project_support", "project config/root file", seed_ord=1 << 40))
+            out.append(_branch(support.where("name = 'pyproject.toml'"), 8, s("project_config"), "project_support", ROOT_LABEL, seed_ord=1 << 40))
             rest = support.where("name <> 'pyproject.toml'")
             rows = near(rest, seed)
             out.append(_branch(rows, 8, F.greatest(F.col("base"), F.lit(s("support_near_seed"))), "support_near_seed", F.concat(F.col("category"), named(" near ")), F.col("seed"), F.col("seed_ord") + F.lit(1 << 41)))
@@ -104,7 +105,7 @@ def focused_reasons(files: DataFrame, edges: DataFrame, seeds: DataFrame, config
                 alone = rest.where("parent = '.'").join(rows.select("path").distinct(), "path", "left_anti")
                 out.append(_branch(alone, 8, F.col("base"), "project_support", F.col("category"), seed_ord=1 << 40))
     elif config.support:
-        out.append(_branch(f.where("path = 'pyproject.toml'"), 8, s("project_config"), "project_support", "project config/root file", seed_ord=1 << 40))
+        out.append(_branch(f.where("path = 'pyproject.toml'"), 8, s("project_config"), "project_support", ROOT_LABEL, seed_ord=1 << 40))
     whole = out[0]
     for b in out[1:]:
         whole = whole.unionByName(b)

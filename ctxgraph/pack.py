@@ -69,7 +69,10 @@ def build_pack(
         say(name)
 
     paths = [str(p) for p in (paths or ["."])]
-    c, root = load_config(paths, config_path, profile, support_content=support_content, output=output, format=output_format, only_tree=only_tree, modules=modules, support=support, max_files=max_files, max_tokens=max_tokens, min_score=min_score)
+    c, root = load_config(
+        paths, config_path, profile, support=support, support_content=support_content, modules=modules,
+        format=output_format, output=output, only_tree=only_tree, min_score=min_score, max_tokens=max_tokens, max_files=max_files,
+    )
     done("config_load")
     base = Path.cwd() if path_base == "cwd" else root
     given = [scan.resolve_seed(p, root, base, c.allow_external_paths) for p in paths]

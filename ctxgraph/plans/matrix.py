@@ -197,17 +197,17 @@ def _specs(spark, ext: str, extractor) -> DataFrame:
     return own.select("path", F.explode(extractor(F.col("text"))).alias("spec")).distinct()
 
 
-@query("SELECT * FROM (" + _lit(".ts .tsx .js", r"(?:import|export)\s+(?:[\w*\s{},]*\s+from\s+)?[''\"]([^''\"]+)[''\"]") + " UNION " + _lit(".ts .tsx .js", r"require\s*\(\s*[''\"]([^''\"]+)[''\"]\s*\)") + ") x")
+@query("SELECT * FROM (" + _lit(".ts .tsx .js", r"(?:export|import)\s+(?:[{},*\w\s]*\s+from\s+)?[''\"]([^''\"]+)[''\"]") + " UNION " + _lit(".ts .tsx .js", r"require\s*\(\s*[''\"]([^''\"]+)[''\"]\s*\)") + ") x")
 def extract_js(spark, sf):
     return _specs(spark, ".ts .tsx .js", extract.js_imports)
 
 
-@query("SELECT path, 'mod:' || spec AS spec FROM (" + _lit(".rs", r"\bmod\s+(\w+)\s*;") + r") m UNION SELECT path, 'use:' || trim(CASE WHEN contains(spec, '{') THEN split_part(spec, '{', 1) || trim(p) ELSE spec END) AS spec FROM (SELECT path, spec, unnest(CASE WHEN contains(spec, '{') THEN string_split(replace(split_part(spec, '{', 2), '}', ''), ',') ELSE [''] END) AS p FROM (" + _lit(".rs", r"\buse\s+([^;]+?)\s*;") + ") u) v")
+@query("SELECT path, 'mod:' || spec AS spec FROM (" + _lit(".rs", r"\bmod\s+([_\w]+)\s*;") + r") m UNION SELECT path, 'use:' || trim(CASE WHEN contains(spec, '{') THEN split_part(spec, '{', 1) || trim(p) ELSE spec END) AS spec FROM (SELECT path, spec, unnest(CASE WHEN contains(spec, '{') THEN string_split(replace(split_part(spec, '{', 2), '}', ''), ',') ELSE [''] END) AS p FROM (" + _lit(".rs", r"\buse\s+([^;]+?)\s*;") + ") u) v")
 def extract_rust(spark, sf):
     return _specs(spark, ".rs", extract.rust_imports)
 
 
-@query("SELECT * FROM (" + _lit(".go", r"\bimport\s+\"([^\"]+)\"") + ") a UNION SELECT path, regexp_extract(line, '\"([^\"]+)\"', 1) AS spec FROM (SELECT path, unnest(string_split(spec, chr(10))) AS line FROM (" + _lit(".go", r"\bimport\s*\(([^)]+)\)") + ") b) c WHERE NOT starts_with(ltrim(line), '//') AND contains(line, '\"')")
+@query("SELECT * FROM (" + _lit(".go", r"\bimport\s+\"([^\"]+)\"") + ") a UNION SELECT path, regexp_extract(line, '\"([^\"]+)\"', 1) AS spec FROM (SELECT path, unnest(string_split(spec, chr(10))) AS line FROM (" + _lit(".go", r"\bimport\s*[(]([^)]+)[)]") + ") b) c WHERE NOT starts_with(ltrim(line), '//') AND contains(line, '\"')")
 def extract_go(spark, sf):
     return _specs(spark, ".go", extract.go_imports)
 
@@ -217,7 +217,7 @@ def extract_cpp(spark, sf):
     return _specs(spark, ".cpp .h .hpp", extract.cpp_includes)
 
 
-@query(_lit(".java", r"\bimport\s+(?:static\s+)?([a-zA-Z_][\w.]*)\s*;"))
+@query(_lit(".java", r"\bimport\s(?:\s*static\s)?\s*([_A-Za-z][.\w]*)\s*;"))
 def extract_java(spark, sf):
     return _specs(spark, ".java", extract.java_imports)
 
@@ -225,7 +225,7 @@ def extract_java(spark, sf):
 _CODE_EXT = ".py .ts .tsx .js .rs .go .cpp .h .hpp .java"
 
 
-@query("SELECT path, string_agg(spec, ',' ORDER BY spec) AS keys FROM (" + " UNION ".join(_lit(_CODE_EXT, r) for r in (r"os\.environ(?:\[|\.get\()[''\"](\w+)[''\"]", r"os\.getenv\([''\"](\w+)[''\"]\)", r"process\.env\.(\w+)", r"process\.env\[[''\"](\w+)[''\"]\]")) + ") k GROUP BY path")
+@query("SELECT path, string_agg(spec, ',' ORDER BY spec) AS keys FROM (" + " UNION ".join(_lit(_CODE_EXT, r) for r in (r"os\.environ(?:\.get[(]|\[)[''\"](\w+)[''\"]", r"os\.getenv\([''\"](\w+)[''\"]\)", r"process\.env\.(\w+)", r"process\.env\[[''\"](\w+)[''\"]\]")) + ") k GROUP BY path")
 def extract_env(spark, sf):
     own = fixture(spark).where(F.col("path").rlike(r"\.(?:" + "|".join(x[1:] for x in _CODE_EXT.split()) + r")\z"))
     return own.select("path", F.array_join(relations.env_keys(F.col("text")), ",").alias("keys")).where("keys <> ''")

@@ -1 +1 @@
-
+"""Streaming is absent from what this engine covers: rebuilds are incremental batches (``operators.snapshot``)."""

@@ -39,9 +39,9 @@ def test_scan(spark, tree):
 def test_focused(spark, tree):
     rows = by_path(build_pack(spark, [tree / "src/app/auth.py"]))
     assert rows["src/app/auth.py"]["score"] == 100
-    for p in ("src/app/session.py", "src/api/routes.py", "tests/test_auth.py"):
+    for p in ("tests/test_auth.py", "src/api/routes.py", "src/app/session.py"):
         assert rows[p]["score"] >= 80
-    assert {"src/app/config.py", "pyproject.toml", "README.md", "requirements.txt"} <= set(rows)
+    assert {"README.md", "pyproject.toml", "requirements.txt", "src/app/config.py"} <= set(rows)
     assert "tree_only" in rows["poetry.lock"]["omitted_reason"]
 
 

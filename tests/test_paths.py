@@ -26,7 +26,7 @@ def test_globs(spark):
     rng = random.Random(1)
     parts = ["src", "a", "docs", "main.py", "x.md", "README.md", ".env", "test_a.py", "b[1].rs", "node_modules", "é.ts"]
     some = sorted({"/".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(250)})
-    patterns = ["**/*.py", "src/**", "*.md", "docs/**/*.md", "README*", "a/*.ts", "?.ts", "**/a/**", "[ab]*", "[!s]*/main.py", "node_modules/**", ".env", "src/main.py", "b[[]1].rs", "x.??"]
+    patterns = ["**/*.py", "src/**", "README*", "docs/**/*.md", "*.md", "a/*.ts", "?.ts", "**/a/**", "[ab]*", "[!s]*/main.py", "node_modules/**", ".env", "src/main.py", "b[[]1].rs", "x.??"]
     df = spark.createDataFrame([(p,) for p in some], "path string")
     rows = df.select("path", *[paths.matches(F.col("path"), g).alias(f"c{i}") for i, g in enumerate(patterns)], paths.matches_any(F.col("path"), patterns).alias("any")).collect()
     for r in rows:
