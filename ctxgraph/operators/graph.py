@@ -152,16 +152,16 @@ def topological_layers(edges: DataFrame) -> DataFrame:
     return rest if done is None else done.unionByName(rest)
 
 
-def bfs_distance(edges: DataFrame, seeds: DataFrame, files: DataFrame) -> DataFrame:
+def bfs_distance(edges: DataFrame, seeds: DataFrame, files: DataFrame, most: int | None = None) -> DataFrame:
     """(path, distance) of all files: the smaller of the hops along the edges and against them from any seed (path) that
-    is a file; 999 where neither reaches."""
+    is a file; 999 where neither reaches, or not within ``most`` hops."""
     start = seeds.select("path").distinct().join(files.select("path"), "path", "left_semi")
     links = cut(adjacency(edges), "bfs")
 
     def hops(a: str, b: str) -> DataFrame:
         seen = cut(start.select("path", F.lit(0).alias("d")), "bfs")
         front, d = seen.select("path"), 0
-        while not front.isEmpty():
+        while (most is None or d < most) and not front.isEmpty():
             d += 1
             front = cut(links.join(front.withColumnRenamed("path", a), a).select(F.col(b).alias("path")).distinct().join(seen.select("path"), "path", "left_anti"), "bfs")
             seen = seen.unionByName(front.select("path", F.lit(d).alias("d")))

@@ -33,7 +33,7 @@ def rank_context(files: DataFrame, edges: DataFrame, seeds: DataFrame, mode: str
         .withColumns({"role": T.role(F.col("path"), F.col("kind"), F.col("language")), "is_seed": F.coalesce("is_seed", F.lit(False))})
     )
     if focused:
-        f = f.join(graph.bfs_distance(edges, seeds, files), "path")
+        f = f.join(graph.bfs_distance(edges, seeds, files, most=2), "path")  # farther ones count alike
         d = F.col("distance")
         f = f.withColumns({"decay": F.when(d <= 1, 1.0).when(d == 2, 0.5).otherwise(0.1), "bonus": F.when(d == 0, 100).otherwise(0), "cap": F.when(d == 0, 100).when(d == 1, 79).when(d == 2, 74).otherwise(44)})
         lone_test = (F.col("role") == "test") & ~F.col("is_seed")
