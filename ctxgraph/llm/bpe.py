@@ -42,7 +42,7 @@ class RankEncoder:
     alone.
     """
 
-    def __init__(self, path: str, pattern: str, cache: int = 250_000):
+    def __init__(self, path: str, pattern: str, cache: int = 150_000):
         import regex
 
         with open(path, "rb") as f:
@@ -303,7 +303,7 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> Iterator[str]:
         yield x.as_py() or ""
 
 
-def portions(batch: pa.RecordBatch, text: str, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes of text, so that memory doesn't follow the texts' lengths."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
@@ -316,37 +316,36 @@ def portions(batch: pa.RecordBatch, text: str, most: int = 6_000_000) -> Iterato
         yield batch.slice(start)
 
 
-def encode(docs: DataFrame, text: str = "text", out: str = "token_ids", vocabulary: tuple[str, str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", out: str = "token_ids", vocabulary: tuple[str, str] | None = None, decoded: str | None = None) -> DataFrame:
     """Add ``out``: the ids as packed little-endian unsigned 32-bit integers (binary, never null). Replaces a column of
-    that name. No shuffle: rows are encoded where they are read."""
-    ship(docs.sparkSession)
-    path, pattern = vocabulary or default_vocabulary()
-    kept = [c for c in docs.columns if c != out]
-    schema = docs.select(*map(_q, kept)).withColumn(out, F.lit(b"")).schema
+    that name. With ``decoded`` the ids are decoded again by the same worker, into a column of that name. No shuffle: rows
+    are encoded where they are read."""
+    made = [out] + [decoded] * (decoded is not None)
 
-    def run(batches):
-        own = encoder(path, pattern)
-        for b in batches:
-            for part in portions(b, text):
-                ids = pa.array(own.encode_all(list(texts_of(part.column(text)))), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [ids], names=[*kept, out])
+    def work(own: RankEncoder, part: pa.RecordBatch) -> list[list[bytes]]:
+        ids = own.encode_all(list(texts_of(part.column(text))))
+        return [ids] + [list(map(own.decode, ids))] * (decoded is not None)
 
-    return docs.mapInArrow(run, schema)
+    return _mapped(docs, text, made, vocabulary, work)
 
 
 def decode(docs: DataFrame, ids: str = "token_ids", out: str = "decoded", vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """Add ``out``: the bytes (binary) that the packed ids stand for; null ids give empty bytes."""
+    return _mapped(docs, ids, [out], vocabulary, lambda own, part: [[own.decode(x.as_py() or b"") for x in part.column(ids)]])
+
+
+def _mapped(docs: DataFrame, source: str, made: list[str], vocabulary: tuple[str, str] | None, work) -> DataFrame:
     ship(docs.sparkSession)
     path, pattern = vocabulary or default_vocabulary()
-    kept = [c for c in docs.columns if c != out]
-    schema = docs.select(*map(_q, kept)).withColumn(out, F.lit(b"")).schema
+    kept = [c for c in docs.columns if c not in made]
+    schema = docs.select(*map(_q, kept)).withColumns({c: F.lit(b"") for c in made}).schema
 
     def run(batches):
         own = encoder(path, pattern)
         for b in batches:
-            for part in portions(b, ids):
-                made = pa.array([own.decode(x.as_py() or b"") for x in part.column(ids)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [made], names=[*kept, out])
+            for part in portions(b, source):
+                columns = [pa.array(x, pa.binary()) for x in work(own, part)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + columns, names=[*kept, *made])
 
     return docs.mapInArrow(run, schema)
 
@@ -359,8 +358,7 @@ def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:
     from ..session import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs).select("doc_id", "token_ids")
-    return decode(ids).select(
+    return encode(docs, decoded="decoded").select(
         "doc_id",
         F.expr("CAST(octet_length(token_ids) DIV 4 AS BIGINT)").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

@@ -20,7 +20,7 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
 _powers = {}
 #: Bytes worked on at a time.
-STEP = 1 << 21
+STEP = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -264,8 +264,8 @@ def score_column(net: Network | float, column: pa.Array) -> np.ndarray:
         x = np.vstack((x, np.zeros((1, x.shape[1]), f32)))
         places = np.append(place, len(x) - 1)
         row, begin, size = windows(counts)
-        for k in range(0, len(row), 8192):
-            s = slice(k, k + 8192)
+        for k in range(0, len(row), 4096):
+            s = slice(k, k + 4096)
             at = begin[s][:, None] + np.arange(WINDOW)
             idx = np.where(np.arange(WINDOW) < size[s][:, None], places[np.minimum(at, len(place))], len(x) - 1)
             np.maximum.at(out, first + row[s], net.run(x, idx, size[s]).astype(float))
@@ -303,7 +303,7 @@ def score(docs: DataFrame, net: Network | float, text: str = "text", out: str =
     def run(batches):
         own = pickle.loads(model.value)
         for b in batches:
-            for part in portions(b, text, 16_000_000):
+            for part in portions(b, text, 8_000_000):
                 s = pa.array(score_column(own, part.column(text)), pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [s], names=[*kept, out])
 
