@@ -331,15 +331,24 @@ def op7_simhash_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Ids that a broadcast may hold: 8 bytes each, about 32 MB as a hash table.
+DROPPED = 1_000_000
+
+
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay when of each class only the document of the smallest id does. Of rows that share
-    that id one stays; rows without an id or a text are in no class and stay."""
+    that id one stays; rows without an id or a text are in no class and stay.
+
+    The ids to drop are counted: up to ``DROPPED`` they are broadcast and the texts stay where they are; beyond, texts and
+    ids are joined by id, which shuffles the texts once.
+    """
     found = cut(near_duplicates(docs, text, doc_id), "neardup")
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    left = docs.join(gone, doc_id, "left_anti").select(*map(_q, docs.columns))
+    gone = cut(found.where("doc_id <> class_id").select(F.col("doc_id").alias(doc_id)).distinct(), "neardup")
+    small = gone.count() <= DROPPED
+    left = docs.join(F.broadcast(gone) if small else gone.hint("merge"), doc_id, "left_anti").select(*map(_q, docs.columns))
     again = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(doc_id))
+    again = cut(again, "neardup")
     if again.isEmpty():
         return left
-    again = cut(again, "neardup")
     twice = left.join(again, doc_id, "left_semi").dropDuplicates([doc_id])
     return left.join(again, doc_id, "left_anti").unionByName(twice).select(*map(_q, docs.columns))

@@ -96,3 +96,17 @@ def test_components(spark, seed):
         parent[max(a, b)] = min(a, b)
     got = {r.node: r["class"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_representatives(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, base), (1, base), (2, base + " x"), (3, "lone words"), (4, None), (4, None), (None, "no id"), (5, "")]
+    docs = spark.createDataFrame([("a", i, t) for i, t in rows], "lang string, doc_id long, text string")
+    kept = neardup.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "no id"), (1, base), (3, "lone words"), (4, ""), (5, "")]
+    try:
+        neardup.DROPPED = 0
+        assert kept.count() == neardup.representatives(docs).count()
+    finally:
+        neardup.DROPPED = 1_000_000
