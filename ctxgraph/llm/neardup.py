@@ -15,8 +15,9 @@ into shards of about ``SHARD`` nodes; each shard builds its own small-world grap
 with its nearest found so far) and keeps it in the shared folder. Queries, which are all nodes, are broadcast in blocks of
 at most ``BLOCK`` (30 MB) to the shards. A query's beam expands from ``BEAM`` to four times that and then to all of
 the shard, as long as half of it lies within range, so that no number of partners is cut off. A sample of nodes
-is searched exactly against all nodes; if the links found fall short of ``RECALL`` of theirs, the search is repeated with
-twice the beam.
+is searched exactly against all nodes. The share found of each node's own partners is averaged over the nodes that have any,
+and over those with at most ``FEW`` alone, so a hot group doesn't speak for pairs. If either mean falls short of ``RECALL``,
+the search is repeated with twice the beam, from each node's own place where the shard holds it, until it is exact.
 
 Links are counted but not listed: of a query's partners in a shard, in order of their ids, one that is linked with
 an earlier listed one is left out. Both are in that shard, so by induction over the larger id of a linked pair, the
@@ -38,7 +39,7 @@ from .textvec import U
 
 NEAR, SURE, RATIO = 24, 60, 0.7
 SHARD, BLOCK, BEAM, JOINED, DEGREE = 1 << 18, 1 << 19, 24, 12, 32
-AUDIT, RECALL = 1_024, 0.97
+AUDIT, RECALL, FEW = 1_024, 0.97, 8
 WORDS64 = 6  # 64-bit words of a signature
 FAR = np.int64(1 << 40)
 STEP = 2_048
@@ -106,11 +107,16 @@ class Graph:
     def _keys(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
         return _distance(self.sig[ids], q[:, None, :]) << 33 | ids.astype(np.int64) << 1
 
-    def beam(self, q: np.ndarray, width: int, among: int | None = None) -> np.ndarray:
-        """The nearest nodes found of each query, as keys, by best-first search of all queries in step."""
+    def beam(self, q: np.ndarray, width: int, among: int | None = None, start: np.ndarray | None = None) -> np.ndarray:
+        """The nearest nodes found of each query, as keys, by best-first search of all queries in step. ``start``: a node
+        of each query to begin at besides the common entries, or -1."""
         n = len(self.sig) if among is None else among
         entries = np.unique(np.linspace(0, n - 1, 16).astype(np.int64))
         keys = self._keys(np.broadcast_to(entries, (len(q), len(entries))), q)
+        if start is not None:
+            own = self._keys(np.maximum(start, 0)[:, None], q)
+            own[(start < 0) | (entries == start[:, None]).any(1)] = FAR << 1
+            keys = np.concatenate((keys, own), 1)
         if keys.shape[1] < width:
             keys = np.concatenate((keys, np.full((len(q), width - keys.shape[1]), FAR << 1)), 1)
         keys = np.partition(keys, width - 1, axis=1)[:, :width]
@@ -163,7 +169,7 @@ class Graph:
                 self.near[nodes] = np.where(best < FAR << 1, best >> 1 & 0xFFFFFFFF, -1)
             at += batch
 
-    def near_all(self, q: np.ndarray, width: int) -> list[np.ndarray]:
+    def near_all(self, q: np.ndarray, width: int, start: np.ndarray | None = None) -> list[np.ndarray]:
         """Nodes within ``NEAR`` of each query: beams that expand while half of them is in range, then all nodes."""
         out: list = [None] * len(q)
         for k in range(0, len(q), STEP):
@@ -171,7 +177,7 @@ class Graph:
             for now in (width, 4 * width):
                 if now >= len(self.sig):
                     break
-                keys = self.beam(q[left], now)
+                keys = self.beam(q[left], now, start=None if start is None else start[left])
                 inside = keys >> 33 <= NEAR
                 full = inside.sum(1) * 2 >= now
                 for i, key, ok in zip(left[~full].tolist(), keys[~full], inside[~full]):
@@ -195,6 +201,13 @@ def listed(ids: np.ndarray, sig: np.ndarray, size: np.ndarray) -> list[int]:
     return out
 
 
+def recall(truth: dict[int, int], found: dict[int, int]) -> float:
+    """The lesser mean share found of a node's partners: of all nodes that have any, and of those with few."""
+    share = {i: min(found.get(i, 0), n) / n for i, n in truth.items() if n}
+    few = [x for i, x in share.items() if truth[i] <= FEW]
+    return min((sum(x) / len(x) for x in (list(share.values()), few) if x), default=1.0)
+
+
 def features(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, sig, n_words): the signature as 48 bytes; of texts without words, a digest of the text; of nulls, null."""
 
@@ -248,8 +261,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 drop_cut(edges)
             edges = cut(_search(alive, graphs, blocks, beam), "neardup")
             found = {r.a: r.n for r in edges.where(F.col("a").isin([r.node for r in sample])).groupBy("a").agg(F.sum("links").alias("n")).collect()}
-            hit, of = sum(min(found.get(i, 0), n) for i, n in truth.items()), sum(truth.values())
-            if of == 0 or hit >= RECALL * of or beam >= total:
+            if recall(truth, found) >= RECALL or beam >= total:
                 break
             beam *= 2
     links = edges.groupBy("a").agg(F.sum("links").alias("n_links")).withColumnRenamed("a", "node") if edges is not None else nodes.select("node", F.lit(0).cast("long").alias("n_links")).limit(0)
@@ -291,8 +303,11 @@ def _search(alive: DataFrame, graphs: DataFrame, blocks: int, beam: int) -> Data
                     graph = Graph(sig, np.frombuffer(row["near"], np.int32).reshape(-1, DEGREE))
                     q_node, q_sig, q_size = shared.value
                     use = np.flatnonzero((q_size >= RATIO * size.min()) & (RATIO * q_size <= size.max()))
+                    order = np.argsort(nodes)
+                    place = order[np.minimum(np.searchsorted(nodes, q_node[use], sorter=order), len(nodes) - 1)]
+                    start = np.where(nodes[place] == q_node[use], place, -1)
                     a, z, links = [], [], []
-                    for j, near in zip(use.tolist(), graph.near_all(np.ascontiguousarray(q_sig[use][:, :2]), beam)):
+                    for j, near in zip(use.tolist(), graph.near_all(np.ascontiguousarray(q_sig[use][:, :2]), beam, start)):
                         if near is None:
                             continue
                         near = near[nodes[near] != q_node[j]]

@@ -80,6 +80,27 @@ def test_hot_group_lists_few_edges(spark):
     assert np.mean([len(neardup.listed(np.arange(600), sig, n)) for _ in range(1)]) < 60
 
 
+def test_audit_counts_nodes_not_links(spark):
+    hot, pairs = {i: 4_999 for i in range(340)}, {i: 1 for i in range(340, 442)}
+    assert neardup.recall(hot | pairs, hot) == 0 and neardup.recall(hot | pairs, hot | pairs) == 1
+    rng = random.Random(7)
+    texts, base = [], [f"w{k}" for k in range(100)]
+    for _ in range(400):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(100)] = f"v{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    for i in range(120):
+        w = [f"p{rng.randrange(10**9)}" for _ in range(100)]
+        texts += [" ".join(w), " ".join([*w[:5], f"z{i}", *w[6:]])]
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    # a beam so narrow that it alone loses pairs beside the hot group
+    got = {r.doc_id: r.n_links for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), beam=2).collect()}
+    pairs = [i for i in range(400, 640) if want[i][1]]
+    assert len(pairs) > 200 and sum(min(got[i], want[i][1]) / want[i][1] for i in pairs) >= 0.97 * len(pairs)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
