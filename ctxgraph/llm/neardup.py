@@ -20,8 +20,9 @@ and over those with at most ``FEW`` alone, so a hot group doesn't speak for pair
 the search is repeated with twice the beam, from each node's own place where the shard holds it, until it is exact.
 
 Links are counted but not listed: of a query's partners in a shard, in order of their ids, one that is linked with
-an earlier listed one is left out. Both are in that shard, so by induction over the larger id of a linked pair, the
-components of what is listed are those of all links. A hot group thus lists a few edges for each node, not all pairs.
+an earlier listed one is left out, and the edge from that listed one to it stands in its place, once in a shard. What one
+query finds is so joined whole by the query's own edges, even if the searches of its partners miss some of it. A hot group
+lists a few edges for each node, not all pairs.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ AUDIT, RECALL, FEW = 1_024, 0.97, 8
 WORDS64 = 6  # 64-bit words of a signature
 FAR = np.int64(1 << 40)
 STEP = 2_048
+PAIRS = 1 << 22  # covered pairs that wait to be made distinct
 
 
 def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -190,15 +192,55 @@ class Graph:
         return out
 
 
-def listed(ids: np.ndarray, sig: np.ndarray, size: np.ndarray) -> list[int]:
-    """Places of the partners to list: in order of ids, those not linked with one listed before."""
+def covering(ids: np.ndarray, sig: np.ndarray, size: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Places of the partners to list: in order of ids, those not linked with one listed before. And of each partner left
+    out, in two arrays, the place of the listed one that covers it and its own."""
     out, rest = [], np.argsort(ids)
+    heads, gone = [rest[:0]], [rest[:0]]
     while len(rest):
         head, rest = rest[0], rest[1:]
         out.append(int(head))
         if len(rest):
-            rest = rest[~_linked(sig[rest], size[rest], sig[head], size[head])]
-    return out
+            near = _linked(sig[rest], size[rest], sig[head], size[head])
+            gone.append(rest[near])
+            heads.append(np.full(len(gone[-1]), head))
+            rest = rest[~near]
+    return out, np.concatenate(heads), np.concatenate(gone)
+
+
+def listed(ids: np.ndarray, sig: np.ndarray, size: np.ndarray) -> list[int]:
+    return covering(ids, sig, size)[0]
+
+
+def shard_edges(graph: Graph, nodes: np.ndarray, sig: np.ndarray, size: np.ndarray, queries: tuple[np.ndarray, np.ndarray, np.ndarray], beam: int) -> tuple[list, list, list]:
+    """(a, b, links) of the queries (nodes, signatures, sizes) in a shard: their listed partners, the first with the number
+    of all; then, without links, the edges from listed partners to those they cover."""
+    q_node, q_sig, q_size = queries
+    use = np.flatnonzero((q_size >= RATIO * size.min()) & (RATIO * q_size <= size.max()))
+    order = np.argsort(nodes)
+    place = order[np.minimum(np.searchsorted(nodes, q_node[use], sorter=order), len(nodes) - 1)]
+    start = np.where(nodes[place] == q_node[use], place, -1)
+    a, z, links = [], [], []
+    pairs, fresh, waiting = np.zeros(0, np.int64), [], 0
+    for j, near in zip(use.tolist(), graph.near_all(np.ascontiguousarray(q_sig[use][:, :2]), beam, start)):
+        if near is None:
+            continue
+        near = near[nodes[near] != q_node[j]]
+        near = near[_linked(sig[near], size[near], q_sig[j], q_size[j])]
+        if len(near) == 0:
+            continue
+        picked, heads, gone = covering(nodes[near], sig[near], size[near])
+        a += [q_node[j]] * len(picked)
+        z += nodes[near[picked]].tolist()
+        links += [len(near)] + [0] * (len(picked) - 1)
+        fresh.append(near[heads].astype(np.int64) * len(nodes) + near[gone])
+        waiting += len(gone)
+        if waiting > PAIRS:
+            pairs, fresh, waiting = np.unique(np.concatenate((pairs, *fresh))), [], 0
+    pairs = np.unique(np.concatenate((pairs, *fresh)))
+    a += nodes[pairs // len(nodes)].tolist()
+    z += nodes[pairs % len(nodes)].tolist()
+    return a, z, links + [0] * len(pairs)
 
 
 def recall(truth: dict[int, int], found: dict[int, int]) -> float:
@@ -288,7 +330,7 @@ def _arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _search(alive: DataFrame, graphs: DataFrame, blocks: int, beam: int) -> DataFrame:
-    """(a, b, links): listed edges of all nodes; the number of links of a in a shard stands at one of its rows there."""
+    """(a, b, links): listed edges of all nodes and those among their partners; the number of links of a in a shard stands at one of its rows there."""
     spark, out = alive.sparkSession, None
     for k in range(blocks):
         own = alive.select("node", "sig", "n_words") if blocks == 1 else alive.where(F.pmod(F.xxhash64("node", F.lit(9)), F.lit(blocks)) == k).select("node", "sig", "n_words")
@@ -301,22 +343,7 @@ def _search(alive: DataFrame, graphs: DataFrame, blocks: int, beam: int) -> Data
                     nodes, size = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["sizes"], np.int32).astype(np.int64)
                     sig = np.frombuffer(row["sigs"], U).reshape(-1, WORDS64)
                     graph = Graph(sig, np.frombuffer(row["near"], np.int32).reshape(-1, DEGREE))
-                    q_node, q_sig, q_size = shared.value
-                    use = np.flatnonzero((q_size >= RATIO * size.min()) & (RATIO * q_size <= size.max()))
-                    order = np.argsort(nodes)
-                    place = order[np.minimum(np.searchsorted(nodes, q_node[use], sorter=order), len(nodes) - 1)]
-                    start = np.where(nodes[place] == q_node[use], place, -1)
-                    a, z, links = [], [], []
-                    for j, near in zip(use.tolist(), graph.near_all(np.ascontiguousarray(q_sig[use][:, :2]), beam, start)):
-                        if near is None:
-                            continue
-                        near = near[nodes[near] != q_node[j]]
-                        near = near[_linked(sig[near], size[near], q_sig[j], q_size[j])]
-                        if len(near):
-                            picked = near[listed(nodes[near], sig[near], size[near])]
-                            a += [q_node[j]] * len(picked)
-                            z += nodes[picked].tolist()
-                            links += [len(near)] + [0] * (len(picked) - 1)
+                    a, z, links = shard_edges(graph, nodes, sig, size, shared.value, beam)
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, z, links)], names=["a", "b", "links"])
 
         # one shard to a task

@@ -101,6 +101,25 @@ def test_audit_counts_nodes_not_links(spark):
     assert len(pairs) > 200 and sum(min(got[i], want[i][1]) / want[i][1] for i in pairs) >= 0.97 * len(pairs)
 
 
+def test_links_found_from_one_side_are_kept():
+    class Missing(neardup.Graph):
+        """Its searches of the last node find nothing."""
+
+        def near_all(self, q, width, start=None):
+            return [None if k == len(q) - 1 else x for k, x in enumerate(super().near_all(q, width, start))]
+
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*base[:k], f"v{k}", *base[k + 1 :]]) for k in range(9)]
+    sig, n = neardup.signatures(pa.array(texts))
+    nodes = np.arange(9)
+    assert all(neardup._linked(sig, n, sig[k], n[k]).all() for k in nodes)
+    a, b, links = neardup.shard_edges(Missing(sig), nodes, sig, n, (nodes, sig, n), neardup.BEAM)
+    joined = {0}
+    for _ in nodes:
+        joined |= {x for e in zip(a, b) if joined & {*e} for x in e}
+    assert joined == {*range(9)} and sum(links) == 8 * 8 and len(a) < 3 * 9
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
