@@ -17,7 +17,8 @@ at most ``BLOCK`` (30 MB) to the shards. A query's beam expands from ``BEAM`` to
 the shard, as long as half of it lies within range, so that no number of partners is cut off. A sample of nodes
 is searched exactly against all nodes. The share found of each node's own partners is averaged over the nodes that have any,
 and over those with at most ``FEW`` alone, so a hot group doesn't speak for pairs. If either mean falls short of ``RECALL``,
-the search is repeated with twice the beam, from each node's own place where the shard holds it, until it is exact.
+the search is repeated with twice the beam, until it is exact. A search begins at the node's own place, where the shard
+holds it, and at the nodes that share the first bits of a rotated word of the signature (``Prefixes``).
 
 Links are counted but not listed: of a query's partners in a shard, in order of their ids, one that is linked with
 an earlier listed one is left out, and the edge from that listed one to it stands in its place, once in a shard. What one
@@ -27,6 +28,8 @@ lists a few edges for each node, not all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -110,15 +113,14 @@ class Graph:
         return _distance(self.sig[ids], q[:, None, :]) << 33 | ids.astype(np.int64) << 1
 
     def beam(self, q: np.ndarray, width: int, among: int | None = None, start: np.ndarray | None = None) -> np.ndarray:
-        """The nearest nodes found of each query, as keys, by best-first search of all queries in step. ``start``: a node
-        of each query to begin at besides the common entries, or -1."""
+        """The nearest nodes found of each query, as keys, by best-first search of all queries in step. ``start``: nodes
+        of each query to begin at besides the common entries."""
         n = len(self.sig) if among is None else among
         entries = np.unique(np.linspace(0, n - 1, 16).astype(np.int64))
         keys = self._keys(np.broadcast_to(entries, (len(q), len(entries))), q)
         if start is not None:
-            own = self._keys(np.maximum(start, 0)[:, None], q)
-            own[(start < 0) | (entries == start[:, None]).any(1)] = FAR << 1
-            keys = np.concatenate((keys, own), 1)
+            keys = np.sort(np.concatenate((keys, self._keys(start, q)), 1), 1)
+            keys[:, 1:][keys[:, 1:] == keys[:, :-1]] = FAR << 1
         if keys.shape[1] < width:
             keys = np.concatenate((keys, np.full((len(q), width - keys.shape[1]), FAR << 1)), 1)
         keys = np.partition(keys, width - 1, axis=1)[:, :width]
@@ -171,7 +173,7 @@ class Graph:
                 self.near[nodes] = np.where(best < FAR << 1, best >> 1 & 0xFFFFFFFF, -1)
             at += batch
 
-    def near_all(self, q: np.ndarray, width: int, start: np.ndarray | None = None) -> list[np.ndarray]:
+    def near_all(self, q: np.ndarray, width: int, start: Callable[[np.ndarray], np.ndarray] | None = None) -> list[np.ndarray]:
         """Nodes within ``NEAR`` of each query: beams that expand while half of them is in range, then all nodes."""
         out: list = [None] * len(q)
         for k in range(0, len(q), STEP):
@@ -179,7 +181,7 @@ class Graph:
             for now in (width, 4 * width):
                 if now >= len(self.sig):
                     break
-                keys = self.beam(q[left], now, start=None if start is None else start[left])
+                keys = self.beam(q[left], now, start=None if start is None else start(left))
                 inside = keys >> 33 <= NEAR
                 full = inside.sum(1) * 2 >= now
                 for i, key, ok in zip(left[~full].tolist(), keys[~full], inside[~full]):
@@ -192,6 +194,31 @@ class Graph:
         return out
 
 
+class Prefixes:
+    """The nodes sorted by each rotation of each word of their signatures by a multiple of 16 bits: partners, most of whose
+    bits agree, share the first bits of some."""
+
+    def __init__(self, sig: np.ndarray):
+        self.sorted = []
+        for k in self._rotated(sig):
+            order = np.argsort(k).astype(np.int32)
+            self.sorted.append((k[order], order))
+
+    @staticmethod
+    def _rotated(sig: np.ndarray):
+        for w in range(WORDS64):
+            for r in (0, 16, 32, 48):
+                yield sig[:, w] << U(r) | sig[:, w] >> U(64 - r) if r else sig[:, w]
+
+    def near(self, sig: np.ndarray) -> np.ndarray:
+        """Of each query the two nodes before and the two after it in every order."""
+        out = []
+        for k, (keys, order) in zip(self._rotated(sig), self.sorted):
+            at = np.searchsorted(keys, k)[:, None] + np.arange(-2, 2)
+            out.append(order[np.clip(at, 0, len(keys) - 1)])
+        return np.concatenate(out, 1)
+
+
 def covering(ids: np.ndarray, sig: np.ndarray, size: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Places of the partners to list: in order of ids, those not linked with one listed before. And of each partner left
     out, in two arrays, the place of the listed one that covers it and its own."""
@@ -219,7 +246,12 @@ def shard_edges(graph: Graph, nodes: np.ndarray, sig: np.ndarray, size: np.ndarr
     use = np.flatnonzero((q_size >= RATIO * size.min()) & (RATIO * q_size <= size.max()))
     order = np.argsort(nodes)
     place = order[np.minimum(np.searchsorted(nodes, q_node[use], sorter=order), len(nodes) - 1)]
-    start = np.where(nodes[place] == q_node[use], place, -1)
+    own, prefixes = nodes[place] == q_node[use], Prefixes(sig)
+
+    def start(which: np.ndarray) -> np.ndarray:
+        near = prefixes.near(q_sig[use[which]])
+        return np.concatenate((near, np.where(own[which], place[which], near[:, 0])[:, None]), 1)
+
     a, z, links = [], [], []
     pairs, fresh, waiting = np.zeros(0, np.int64), [], 0
     for j, near in zip(use.tolist(), graph.near_all(np.ascontiguousarray(q_sig[use][:, :2]), beam, start)):
