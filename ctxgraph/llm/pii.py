@@ -8,14 +8,15 @@ validates wins; a candidate that doesn't validate stays as it is):
 - ``email``: letters and digits of the local part are permuted, letters as letters and digits as digits; its other signs
   and the domain stay;
 - ``key``: access key ids of 20 capitals and digits that start with AKIA or ASIA; the sixteen after that are permuted;
-- ``secret``: the value after ``password=``, ``passwd=``, ``secret=``, ``token=`` or ``api_key=`` (or with a colon),
-  letters and digits permuted within their class;
+- ``secret``: the value after ``password=``, ``passwd=``, ``secret=``, ``token=`` or ``api_key=`` (or with a colon) in any
+  case, with or without blanks around the sign and quotes around key and value; letters and digits permuted within
+  their class;
 - ``iban``: mod-97 valid; the account digits and letters are permuted and the check digits computed anew;
 - ``card``: 13 to 19 digits, alone or in groups, Luhn valid and with a known first digit (3 to 6); all digits after the
   first and before the last are permuted, the last makes the Luhn sum right;
 - ``ssn``: ddd-dd-dddd with a valid area, group and serial;
-- ``phone``: North American numbers with area and exchange codes that begin with 2 to 9, and others written with a plus
-  sign and a country code (the code stays);
+- ``phone``: North American numbers with area and exchange codes that begin with 2 to 9 (after +1 the area may begin with
+  0 or 1, and does so in the pseudonym), and others written with a plus sign and a country code (the code stays);
 - ``date``: year-month-day with hyphens or slashes, and day or month first with slashes or dots (day first unless only
   month first is a date), from 1900 to 2099; permuted among the days of those two centuries;
 - ``ip``: dotted quads with parts up to 255, other than loopback, unspecified and broadcast addresses; permuted among
@@ -50,7 +51,7 @@ FIND = re.compile(
     r"""
     (?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
   | (?P<key>(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9]))
-  | (?P<secret>(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_key)[=:]\s?(?=\S{6})(?:[^\s"'<>]+))
+  | (?P<secret>(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_key)["']?[^\S\r\n]*[=:](?:\s|[^\S\r\n]*)["']?(?=\S{6})(?:[^\s"'<>]+))
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
   | (?P<phone>(?<![\w+.])(?:\+?1[ .-]?)?(?:\(\d{3}\)\ ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w-])
       | (?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?![\w-]))
@@ -63,7 +64,7 @@ FIND = re.compile(
     re.X,
 )
 #: Each kind needs one of these; most texts have none.
-HINT = re.compile(r"@|\d[\d .()/-]{5}|A[KS]IA|(?:password|passwd|secret|token|api_key)[=:]")
+HINT = re.compile(r"@|\d[\d .()/-]{5}|A[KS]IA|(?i:password|passwd|secret|token|api_key)[\"']?[^\S\r\n]*[=:]")
 
 
 def luhn(digits: str) -> int:
@@ -141,7 +142,7 @@ class Pseudonyms:
         return "key", text[:4] + "".join(self.mixed("key", text[4:]))
 
     def _secret(self, text):
-        at = re.search(r"[=:]\s?", text).end()
+        at = re.search(r"[=:]\s*[\"']?", text).end()
         return "secret", text[:at] + self.mixed("secret", text[at:])
 
     def _iban(self, text):
@@ -173,8 +174,13 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", text)
         if not text.startswith("+") or text[1] == "1":
             own = digits[-10:]
-            if len(digits) not in (10, 11) or len(digits) == 11 and digits[0] != "1" or own[0] in "01" or own[3] in "01":
+            if len(digits) not in (10, 11) or len(digits) == 11 and digits[0] != "1" or own[3] in "01":
                 return None
+            if own[0] in "01":
+                if not text.startswith("+"):
+                    return None
+                value = self.permute("phone01", (int(own[:3]) * 800 + int(own[3:6]) - 200) * 10_000 + int(own[6:]), 200 * 800 * 10_000)
+                return "phone", refill(text, f"{digits[:-10]}{value // 8_000_000:03d}{value // 10_000 % 800 + 200}{value % 10_000:04d}")
             a, b, c = int(own[:3]) - 200, int(own[3:6]) - 200, int(own[6:])
             value, c = divmod(self.permute("phone", (a * 800 + b) * 10_000 + c, 800 * 800 * 10_000), 10_000)
             a, b = divmod(value, 800)

@@ -92,6 +92,25 @@ def test_pseudonyms():
         assert to.text(f"so, {v} is it") == (f"so, {v} is it", [])
 
 
+def test_forms_of_the_documents(spark):
+    to, back = pii.Pseudonyms(), pii.Pseudonyms(invert=True)
+    value = "9233a8ecf7c5b09fe5949719b6b82bc0d1e2f3a4"
+    for form in ('token = "{}"', 'TOKEN = "{}"###', "Api_Key : '{}'", 'x {{"password": "{}"}}', "SECRET={}", "passwd:  {}", "token\t=\n{}"):
+        for v in (value, value.upper()):
+            text = form.format(v)
+            new, spans = to.text(text)
+            assert [k for k, *_ in spans] == ["secret"] and v not in new and len(new) == len(text), text
+            assert new.split(new[text.index(v) : text.index(v) + 40]) == text.split(v) and back.text(new)[0] == text
+    new, spans = to.text("so +1 (017) 555-7713.")
+    assert [k for k, *_ in spans] == ["phone"] and new != "so +1 (017) 555-7713." and new[:7] == "so +1 (" and new[7] in "01" and back.text(new)[0] == "so +1 (017) 555-7713."
+    import re
+
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.lower("text").contains('token = "') | F.col("text").contains("+1 (0") | F.col("text").contains("+1 (1")).collect()]
+    sure = re.compile(r'(?i)token = "([0-9a-f]{40})"|(\+1 \([01]\d\d\) [2-9]\d\d-\d{4})')
+    held = [(m[1] or m[2], to.text(t)[0]) for t in docs for m in sure.finditer(t)]
+    assert len(held) == 166 + 33 and not any(v in new for v, new in held)
+
+
 def test_pseudonyms_are_permutations():
     to, back = pii.Pseudonyms(), pii.Pseudonyms(invert=True)
     for size in (1, 2, 10, 97, 1000):
