@@ -542,6 +542,20 @@ def import_counts(spark, sf):
     return report.import_counts(edges(spark, sf), _ranked(spark, sf).where("rank <= 400"))
 
 
+# the same of all ranked candidates: max_files is 0, no limit, by default
+_ALL = f"SELECT path FROM ({_RANKED}) r"
+
+
+@query(f"WITH i AS ({_ALL}), e AS ({D_EDGES}) SELECT src, dst, kind, count(*) AS n, max(confidence) AS confidence, 'derived' AS analyzers FROM e WHERE src IN (SELECT path FROM i) AND dst IN (SELECT path FROM i) GROUP BY src, dst, kind")
+def relation_groups_all(spark, sf):
+    return report.relation_groups(edges(spark, sf), _ranked(spark, sf))
+
+
+@query(f"WITH i AS ({_ALL}), e AS (SELECT DISTINCT src, dst FROM ({D_EDGES}) x WHERE kind = 'import' AND src IN (SELECT path FROM i) AND dst IN (SELECT path FROM i)) SELECT * FROM (SELECT 'out' AS side, src AS path, count(*) AS n FROM e GROUP BY src ORDER BY n DESC, path LIMIT 5) a UNION ALL SELECT * FROM (SELECT 'in' AS side, dst AS path, count(*) AS n FROM e GROUP BY dst ORDER BY n DESC, path LIMIT 5) b")
+def import_counts_all(spark, sf):
+    return report.import_counts(edges(spark, sf), _ranked(spark, sf))
+
+
 @query(ORACLES["budget_greedy"].replace("SELECT k.path, k.rank, k.tokens, g.included FROM k JOIN g USING (rank)", "SELECT k.kind, count(*) AS n, count(*) FILTER (g.included) AS n_content, count(*) FILTER (NOT g.included) AS n_tree, CAST(coalesce(sum(k.tokens) FILTER (g.included), 0) AS BIGINT) AS tokens FROM k JOIN g USING (rank) GROUP BY k.kind"))
 def pack_summary(spark, sf):
     return report.summary(budget.greedy(_ranked(spark, sf), _BUDGET))
