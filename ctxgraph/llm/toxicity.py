@@ -147,6 +147,14 @@ class Network:
         return g
 
 
+def window_max(lead: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The largest lead in each window, -9 in an empty one; windows may overlap."""
+    if len(begin) == 0:
+        return np.zeros(0, lead.dtype)
+    ends = np.stack((begin, begin + size), 1).ravel()
+    return np.where(size > 0, np.maximum.reduceat(np.append(lead, lead.dtype.type(-9)), ends)[::2], lead.dtype.type(-9))
+
+
 def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | float:
     """A network, or the share of toxic rows where one class is missing."""
     if len({*labels}) < 2:
@@ -186,7 +194,6 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | float
     row, begin, size = windows(counts)
     x0 = net.vectors(word, gram, n)
     lead = (x0[:, 0] + x0[:, DIM_WORD])[np.append(place, len(word) - 1)]
-    best = np.maximum.reduceat(np.append(lead, -9), np.minimum(begin, len(place)))  # of the words from here on, to sort by
     pad = len(word) - 1
     places = np.append(place, pad)
 
@@ -205,8 +212,7 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | float
 
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
-    best_w = np.array([lead[b : b + s].max() if s > 0 else -9 for b, s in zip(begin, size)]) if len(begin) < 400_000 else best
-    picked = choose(best_w, 1)
+    picked = choose(window_max(lead, begin, size), 1)
     for epoch in range(EPOCHS):
         if epoch in (EPOCHS // 3, 2 * EPOCHS // 3):
             picked = choose(logits(np.arange(len(row)), net.vectors(word, gram, n)), 1)

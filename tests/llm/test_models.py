@@ -87,6 +87,17 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("toxicity <> 0").isEmpty()
 
 
+def test_window_maxima_at_every_size():
+    rng = np.random.default_rng(5)
+    begin = np.arange(0, 450_000 * 48, 48)  # over 400 000 windows of 64 every 48
+    size = rng.integers(0, 65, len(begin))
+    lead = rng.normal(size=int(begin[-1]) + 65).astype(np.float32)
+    got = toxicity.window_max(lead, begin, size)
+    want = np.array([lead[b : b + s].max() if s > 0 else -9 for b, s in zip(begin, size)], np.float32)
+    assert (got == want).all()
+    assert (toxicity.window_max(lead[:65], begin[:1], np.array([0])) == -9).all() and len(toxicity.window_max(lead, begin[:0], size[:0])) == 0
+
+
 def test_gradients():
     """The backward pass against differences."""
     rng = np.random.default_rng(0)
