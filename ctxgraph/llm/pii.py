@@ -5,12 +5,12 @@ so the result has the same form and validates too, distinct values stay distinct
 in every document, without any join or table. The kinds, tried in this order at each place (the first that matches and
 validates wins; a candidate that doesn't validate stays as it is):
 
-- ``email``: letters and digits of the local part are permuted, letters as letters and digits as digits; its other signs
-  and the domain stay;
+- ``email``: ASCII letters and digits of the local part are permuted, letters as letters and digits as digits; its other
+  signs and the domain stay. Capitals don't tell addresses apart: they are laid over the pseudonym of the small letters;
 - ``key``: access key ids of 20 capitals and digits that start with AKIA or ASIA; the sixteen after that are permuted;
 - ``secret``: the value after ``password=``, ``passwd=``, ``secret=``, ``token=`` or ``api_key=`` (or with a colon) in any
-  case, with or without blanks around the sign and quotes around key and value; letters and digits permuted within
-  their class;
+  case, with or without blanks around the sign and quotes around key and value; ASCII letters and digits permuted within
+  their class, other signs stay;
 - ``iban``: mod-97 valid; the account digits and letters are permuted and the check digits computed anew;
 - ``card``: 13 to 19 digits, alone or in groups, Luhn valid and with a known first digit (3 to 6); all digits after the
   first and before the last are permuted, the last makes the Luhn sum right;
@@ -18,34 +18,46 @@ validates wins; a candidate that doesn't validate stays as it is):
 - ``phone``: North American numbers with area and exchange codes that begin with 2 to 9 (after +1 the area may begin with
   0 or 1, and does so in the pseudonym), and others written with a plus sign and a country code (the code stays);
 - ``date``: year-month-day with hyphens or slashes, and day or month first with slashes or dots (day first unless only
-  month first is a date), from 1900 to 2099; permuted among the days of those two centuries;
+  month first is a date), from 1900 to 2099. Days after the 12th of a month are permuted among themselves and the others
+  among themselves, by the same permutation in whatever order a date is written, so its order can still be told;
 - ``ip``: dotted quads with parts up to 255, other than loopback, unspecified and broadcast addresses; permuted among
   all such addresses.
 
-Null texts stay null, with no findings; empty texts and texts without findings are unchanged. Rows are kept one for one.
-The key is a parameter; who has it can invert the permutation (``Pseudonyms(key, invert=True)``), but for leading
-zeros of days and months.
+Strings of letters and digits of any length are permuted sign by sign in time that grows with their length: each half is
+shifted in turn by a keyed stream that depends on the other. Values of a small set (numbers of a form, dates, addresses)
+are permuted as integers, walking along the cycle while outside of it.
+
+Null texts stay null, with no findings; empty texts and texts without findings are unchanged; texts of any length are
+read whole, in time that grows with it. Rows are kept one for one, repeated ones alike. Other columns pass through, but for
+one named as ``spans``, which is replaced. Who has the key can invert the permutation (``Pseudonyms(key, invert=True)``), but
+for leading zeros of days and months, so it has no default: ``key_of`` takes it from the session's setting ``KEY_SETTING``,
+and where that is unset draws one at random for the application, so that nobody can.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from bisect import bisect_left
-from datetime import date, timedelta
+from datetime import date
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
 from .bpe import _q, portions
 
-KEY = b"ctxgraph public test key; set your own"
+KEY_SETTING = "spark.ctxgraph.pii.key"
 ROUNDS = 10
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST, DAYS = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal() - date(1900, 1, 1).toordinal() + 1
-LATE = [d for d in range(FIRST, FIRST + DAYS) if date.fromordinal(d).day > 12]
+#: Days by whether they are after the 12th of a month.
+SORTED_DAYS = [[d for d in range(FIRST, FIRST + DAYS) if (date.fromordinal(d).day > 12) == late] for late in (False, True)]
+#: Only values up to this length are remembered.
+SHORT = 64
 
 FIND = re.compile(
     r"""
@@ -84,46 +96,52 @@ def refill(form: str, chars: str) -> str:
 
 
 class Pseudonyms:
-    def __init__(self, key: bytes = KEY, invert: bool = False):
+    def __init__(self, key: bytes, invert: bool = False):
         self.key, self.inverted, self.known = hashlib.sha256(key).digest(), invert, {}
 
     def permute(self, kind: str, value: int, size: int) -> int:
-        """A keyed permutation of 0..size-1: a balanced Feistel network on the next even number of bits, walked along
-        its cycle until the value falls inside. ``kind`` tweaks it."""
+        """A keyed permutation of 0..size-1, of sizes up to 2^64: a balanced Feistel network on the next even number of
+        bits, walked along its cycle until the value falls inside. ``kind`` tweaks it."""
         if size < 2:
             return value
         half = max(1, ((size - 1).bit_length() + 1) // 2)
-        mask, width = (1 << half) - 1, (half + 7) // 8
+        mask = (1 << half) - 1
         tweak = f"{kind}:{size}:".encode()
         while True:
             left, right = value >> half, value & mask
             for r in reversed(range(ROUNDS)) if self.inverted else range(ROUNDS):
                 seen = left if self.inverted else right
-                f = int.from_bytes(hashlib.blake2b(tweak + bytes([r]) + seen.to_bytes(width, "big"), key=self.key, digest_size=max(8, width)).digest(), "big") & mask
+                f = int.from_bytes(hashlib.blake2b(tweak + bytes([r]) + seen.to_bytes(4, "big"), key=self.key, digest_size=8).digest(), "big") & mask
                 left, right = (right ^ f, left) if self.inverted else (right, left ^ f)
             value = left << half | right
             if value < size:
                 return value
 
     def mixed(self, kind: str, text: str) -> str:
-        """Permute a string within its pattern of digits, small and capital letters."""
-        classes = [next((c for c in (DIGITS, LOWER, UPPER) if ch in c), None) for ch in text]
-        value, size = 0, 1
-        for ch, c in zip(text, classes):
-            if c:
-                value, size = value * len(c) + c.index(ch), size * len(c)
-        form = "".join("." if c is None else "9" if c is DIGITS else "a" if c is LOWER else "A" for c in classes)
-        value = self.permute(f"{kind}:{form}", value, size)
-        out = []
-        for ch, c in zip(reversed(text), reversed(classes)):
-            if c:
-                value, k = divmod(value, len(c))
-                ch = c[k]
-            out.append(ch)
-        return "".join(reversed(out))
+        """Permute a string of any length within its pattern of ASCII digits, small and capital letters: a Feistel network
+        over its two halves, each sign of one shifted within its class by a stream keyed with the other."""
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        base, size = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+        for c in (DIGITS, LOWER, UPPER):
+            own = (codes >= ord(c[0])) & (codes <= ord(c[-1]))
+            base[own], size[own] = ord(c[0]), len(c)
+        at = np.flatnonzero(size)
+        tweak = hashlib.blake2b(kind.encode() + b":" + base.astype(np.uint8).tobytes(), key=self.key).digest()
+        value, size = codes[at] - base[at], size[at]
+        half = len(at) // 2
+        sides = (slice(0, half), slice(half, None))
+        for r in reversed(range(ROUNDS)) if self.inverted else range(ROUNDS):
+            mine, other = sides[r % 2], sides[1 - r % 2]
+            n = len(value[mine])
+            stream = hashlib.shake_256(tweak + bytes([r]) + value[other].astype(np.uint8).tobytes()).digest(4 * n)
+            shift = np.frombuffer(stream, "<u4").astype(np.int64)
+            value[mine] = (value[mine] + (-shift if self.inverted else shift)) % size[mine]
+        codes = codes.copy()
+        codes[at] = value + base[at]
+        return codes.tobytes().decode("utf-32-le")
 
     def number(self, kind: str, digits: str) -> str:
-        return str(self.permute(kind, int(digits), 10 ** len(digits))).zfill(len(digits))
+        return self.mixed(kind, "".join(str(int(d)) for d in digits))
 
     def one(self, kind: str, text: str) -> tuple[str, str] | None:
         """(kind, pseudonym) of a validated value, None of anything else."""
@@ -131,15 +149,19 @@ class Pseudonyms:
         if got == 0:
             if len(self.known) > 50_000:
                 self.known.clear()
-            got = self.known[kind, text] = getattr(self, "_" + kind)(text)
+            got = getattr(self, "_" + kind)(text)
+            if len(text) <= SHORT:
+                self.known[kind, text] = got
         return got
 
     def _email(self, text):
         local, _, domain = text.partition("@")
-        return "email", self.mixed("email", local) + "@" + domain
+        small = "".join(c.lower() if c in UPPER else c for c in local)
+        new = self.mixed("email", small)
+        return "email", "".join(n.upper() if c in UPPER else n for c, n in zip(local, new)) + "@" + domain
 
     def _key(self, text):
-        return "key", text[:4] + "".join(self.mixed("key", text[4:]))
+        return "key", text[:4] + self.mixed("key", text[4:])
 
     def _secret(self, text):
         at = re.search(r"[=:]\s*[\"']?", text).end()
@@ -208,18 +230,11 @@ class Pseudonyms:
 
     def _date(self, y, m, d):
         try:
-            day = date(y, m, d).toordinal() - FIRST
+            day = date(y, m, d)
         except ValueError:
             return None
-        return date.fromordinal(FIRST + self.permute("date", day, DAYS))
-
-    def _late(self, y, m, d):
-        """Of dates that only the month-first order can mean (days after the 12th), among themselves."""
-        try:
-            at = bisect_left(LATE, date(y, m, d).toordinal())
-        except ValueError:
-            return None
-        return date.fromordinal(LATE[self.permute("late", at, len(LATE))])
+        days = SORTED_DAYS[d > 12]
+        return date.fromordinal(days[self.permute(f"date{d > 12}", bisect_left(days, day.toordinal()), len(days))])
 
     def _ymd(self, text):
         y, m, d = re.split("[-/]", text)
@@ -235,7 +250,7 @@ class Pseudonyms:
         z = 2 if len(a) == 2 and len(b) == 2 else 1
         for swap in (False, True):
             d, m = (b, a) if swap else (a, b)
-            new = self._late(int(y), int(m), int(d)) if swap else self._date(int(y), int(m), int(d))
+            new = self._date(int(y), int(m), int(d))
             if new is not None:
                 p, q = (new.month, new.day) if swap else (new.day, new.month)
                 return "date", sign.join((str(p).zfill(z), str(q).zfill(z), str(new.year)))
@@ -262,7 +277,18 @@ class Pseudonyms:
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", spans: str = "pii_spans", key: bytes = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The key of the session's setting, else one drawn at random for the application and kept in the driver."""
+    named = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING)
+    if named:
+        return named.encode()
+    sc = spark.sparkContext
+    if not hasattr(sc, "_ctxgraph_pii_key"):
+        sc._ctxgraph_pii_key = secrets.token_bytes(32)
+    return sc._ctxgraph_pii_key
+
+
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str = "pii_spans") -> DataFrame:
     """Replace ``text`` and add ``spans``: kind, start and end (code points) in the text as it was. No shuffle."""
     ship(docs.sparkSession)
     kept = [c for c in docs.columns if c != spans]
@@ -284,5 +310,5 @@ def pseudonymise(docs: DataFrame, text: str = "text", spans: str = "pii_spans",
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     """Every document with its pseudonymised text, the number of values replaced and their kinds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pseudonymise(docs)
+    out = pseudonymise(docs, key_of(spark))
     return out.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_replaced"), F.array_sort(F.array_distinct("pii_spans.kind")).alias("kinds"))

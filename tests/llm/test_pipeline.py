@@ -25,7 +25,7 @@ def test_stages(spark, sf):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     clean = {i for i, t in rows["decontamination"].items() if not any(brute(t, x) >= decontam.THRESHOLD - 1e-9 for x in items.values())}
     assert set(rows["personal_data"]) == clean
-    own = pii.Pseudonyms()
+    own = pii.Pseudonyms(pii.key_of(spark))
     assert rows["tokens"] == {i: own.text(t)[0] for i, t in rows["personal_data"].items()}
     last = docs.collect()
     assert {r.doc_id for r in last} == clean and all(r.round_trip for r in last)

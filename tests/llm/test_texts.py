@@ -79,8 +79,11 @@ VALUES = [
 ]
 
 
+KEY = b"key of the tests"
+
+
 def test_pseudonyms():
-    to, back, other = pii.Pseudonyms(), pii.Pseudonyms(invert=True), pii.Pseudonyms(b"another key")
+    to, back, other = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, invert=True), pii.Pseudonyms(b"another key")
     for kind, v in VALUES:
         text, spans = to.text(f"so, {v} is it")
         assert spans == [(kind, 4, 4 + len(v))], v
@@ -93,7 +96,7 @@ def test_pseudonyms():
 
 
 def test_forms_of_the_documents(spark):
-    to, back = pii.Pseudonyms(), pii.Pseudonyms(invert=True)
+    to, back = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, invert=True)
     value = "9233a8ecf7c5b09fe5949719b6b82bc0d1e2f3a4"
     for form in ('token = "{}"', 'TOKEN = "{}"###', "Api_Key : '{}'", 'x {{"password": "{}"}}', "SECRET={}", "passwd:  {}", "token\t=\n{}"):
         for v in (value, value.upper()):
@@ -112,20 +115,102 @@ def test_forms_of_the_documents(spark):
 
 
 def test_pseudonyms_are_permutations():
-    to, back = pii.Pseudonyms(), pii.Pseudonyms(invert=True)
+    to, back = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, invert=True)
     for size in (1, 2, 10, 97, 1000):
         image = [to.permute("k", v, size) for v in range(size)]
         assert sorted(image) == list(range(size)) and [back.permute("k", v, size) for v in image] == list(range(size))
 
 
+def valid(kind: str, v: str) -> bool:
+    """Whether a value is well formed, told without the operator's code."""
+    import datetime
+    import re
+
+    digits = [int(c) for c in v if c.isdigit()]
+    if kind == "card":
+        return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(reversed(digits))) % 10 == 0
+    if kind == "iban":
+        plain = v.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    if kind == "ip":
+        return all(0 <= int(x) <= 255 for x in v.split("."))
+    if kind == "date":
+        y, m, d = v.split("-") if v[4] == "-" else (v[6:], *sorted((v[:2], v[3:5]), key=lambda x: int(x) > 12))
+        return bool(datetime.date(int(y), int(m), int(d))) and 1900 <= int(y) <= 2099
+    if kind == "ssn":
+        return bool(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", v))
+    return True
+
+
+def test_pseudonyms_keep_their_format(spark):
+    rng = random.Random(6)
+    made = {k: set() for k in ("card", "iban", "ip", "date", "ssn")}
+    for _ in range(150):
+        body = str(rng.randint(3, 6)) + "".join(rng.choices("0123456789", k=14))
+        made["card"].add(next(body + c for c in "0123456789" if valid("card", body + c)))
+        account = "".join(rng.choices("0123456789", k=18))
+        made["iban"].add(next(x for k in range(2, 99) if valid("iban", x := f"DE{k:02d}{account}")))
+        made["ip"].add(".".join(str(rng.randint(1, 126)) for _ in range(4)))
+        made["date"].add(f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}")
+        made["ssn"].add(f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}")
+    values = [(k, v) for k in made for v in sorted(made[k])]
+    docs = spark.createDataFrame([(i, f"so, {v} is it; {v} again") for i, (_, v) in enumerate(values)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymise(docs, KEY).collect()}
+    new = {k: set() for k in made}
+    for i, (k, v) in enumerate(values):
+        one, two = out[i].text[4:].split(" is it; ")
+        assert two == one + " again" and len(one) >= 7 and valid(k, one), (k, v, one)
+        assert [c if not c.isalnum() else "x" for c in one if not c.isdigit()] == [c if not c.isalnum() else "x" for c in v if not c.isdigit()]
+        new[k].add(one)
+    assert {k: len(v) for k, v in new.items()} == {k: len(v) for k, v in made.items()}  # distinct values stay distinct
+    assert all(len(new[k] & made[k]) < 5 for k in made)
+
+
+def test_equal_values_stay_linked():
+    to = pii.Pseudonyms(KEY)
+    one = lambda v: to.text(f" {v} ")[0][1:-1]
+    y, m, d = one("1999-12-25").split("-")
+    assert one("12/25/1999") == f"{m}/{d}/{y}" and one("25.12.1999") == f"{d}.{m}.{y}" and one("1999/12/25") == f"{y}/{m}/{d}"
+    y, m, d = one("2001-04-03").split("-")
+    assert one("03/04/2001") == f"{d}/{m}/{y}"
+    assert one("Joe@x.com").lower() == one("joe@x.com") == one("JOE@x.com").replace("@x.com", "").lower() + "@x.com" and one("Joe@x.com")[0].isupper()
+    assert one("4041 8949 7460 8795").replace(" ", "") == one("4041894974608795") and one("+1 (988) 555-2485")[-8:] == one("988-555-2485")[-8:]
+
+
+def test_values_of_any_length(spark):
+    import time
+
+    token = lambda n: "".join(random.Random(n).choices("abcXYZ019", k=n))
+    jwt = f"{token(36)}.{token(342)}.{token(43)}"
+    texts = [f"token={token(n)}" for n in (217, 218, 309, 5_000, 1_000_000)] + ["token=" + "7" * 309, f'token: "{jwt}"', token(219) + "@x.com", token(5_000) + ".y@x.com", "1" * 300_000, "a@" * 100_000, "token" * 50_000, "a.b-" * 100_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    began = time.monotonic()
+    out = {r.doc_id: r for r in pii.pseudonymise(docs, KEY).collect()}
+    back = pii.Pseudonyms(KEY, invert=True)
+    for i, t in enumerate(texts):
+        assert len(out[i].text) == len(t) and back.text(out[i].text)[0] == t
+        assert (out[i].text != t) == (i < 9) == bool(out[i].pii_spans)
+    assert time.monotonic() - began < 60
+    assert len(set(pii.Pseudonyms(KEY).mixed("k", f"{v:03d}") for v in range(1_000))) == 1_000
+
+
 def test_pii_rows(spark):
     docs, rows = odd(spark, [f"x {v} y {v}" for _, v in VALUES])
-    out = pii.pseudonymise(docs).orderBy("doc_id").collect()
-    own = pii.Pseudonyms()
-    for r, t in zip(out, rows):
-        want = (None, []) if t is None else own.text(t)
-        assert (r.text, [tuple(s) for s in r.pii_spans]) == (want[0], want[1])
-    assert pii.pseudonymise(docs.limit(0)).count() == 0
+    docs = docs.withColumn("pii_spans", F.lit(1)).withColumn("kind", F.lit("k"))
+    out = pii.pseudonymise(docs, KEY).orderBy("doc_id").collect()
+    assert len(out) == len(rows)
+    for i, (r, t) in enumerate(zip(out, rows)):
+        held = len(ODD) <= i < len(rows) - 1
+        assert (r.text != t) == held and [s.kind for s in r.pii_spans] == [VALUES[(i - len(ODD)) % len(VALUES)][0]] * 2 * held and r.kind == "k" and r.n == i
+        if held:
+            assert [t[s.start : s.end] for s in r.pii_spans] == [VALUES[i - len(ODD)][1]] * 2
+    assert pii.pseudonymise(docs.limit(0), KEY).count() == 0
+    spark.conf.set(pii.KEY_SETTING, "named")
+    try:
+        assert pii.key_of(spark) == b"named"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert pii.key_of(spark) == pii.key_of(spark) and len(pii.key_of(spark)) == 32
 
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
