@@ -36,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gets pseudonyms of the same form; no document goes."""
     session.ship(spark)
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, pii.key_of(spark))
     return out.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
