@@ -1,22 +1,33 @@
 """Main-text extraction from HTML by tree scoring.
 
-The page is parsed into a tree of elements (with the end tags that HTML implies), scripts, styles, comments and the like
-aside. Boilerplate subtrees are left out: by tag (nav, footer, aside, form, ...), by ARIA role, by words in class or id
-(ad, sidebar, cookie, comment, ...), or hidden; a ``header`` only outside an article or where it holds no heading. Every
-paragraph passes points to its ancestors: 1, one for each comma (of any script) and one for each 100 characters up to
-3; the parent gets them whole, the grandparent half, further ones a share that falls with the distance. The points of an
-element are multiplied by 1 - link density, and the best one is the container; of its siblings those are kept that score
-a fifth of its points, or are paragraphs of their own with few links, as well as headings right before them. An
-``article`` or ``main`` around the container takes its place if it holds no second container of its own standing.
+The page is parsed into a tree of elements (with the end tags that HTML implies; a head ends at the first tag or text that
+can't stand in one), scripts, styles, comments and the like aside. Boilerplate subtrees are left out: by tag (nav, footer,
+aside, ...), by ARIA role, by words in class or id (ad, sidebar, cookie, comment, ...), or hidden; a ``header`` only outside
+an article or where it holds no heading. Inside an article or main element such words are evidence only: 2 for one of
+``BAD``, 1 for one of ``WEAK`` as well, less 1 if another word of the same name is no usual part of a layout
+(share-price, related-work), less 1 if the subtree has text of which less than half stands in links; it goes if any is left.
+A form is left out unless the page stands in it: it holds over half of the text, and no article or main element with
+text is outside of it.
+
+Every paragraph of 25 characters or more passes points to its ancestors: 1, one for each comma (of any script) and one for
+each 100 characters up to 3; the parent gets them whole and each further ancestor half of what the one below it has. The
+points of an element are multiplied by 1 - link density, and the best one is the container; of its siblings those are kept
+that score a fifth of its points (10 at least), or are paragraphs of their own with few links, as well as headings right
+before them. An ``article`` or ``main`` around the container takes its place if it holds no second article of its own
+standing. A page of shorter texts alone gives the first article, main or body element, or all of it.
 
 Blocks of text (paragraphs, headings, list items, table cells, preformatted and loose text) come in page order, with
-character references decoded, each run of white space one space, trimmed, and joined by two line ends. Null html counts
-as empty; a page without text gives an empty string. Ties go to the first container in page order.
+character references decoded, each run of white space one space, trimmed, and joined by two line ends. Null and empty html
+and a page without text give an empty string. Ties go to the first container in page order. Rows are kept one for one,
+repeated ones alike; a column named as the result is replaced. Pages of any length and depth are read whole in time that
+grows with their length: each sign is looked at a bounded number of times, and all passes over the tree are loops. A tag
+that never ends is text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -26,24 +37,27 @@ from pyspark.sql import functions as F
 from ..session import ship, table
 from .bpe import _q, portions
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>\x00]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<void>/?)>"
-    r"|</[^A-Za-z][^>]*(?:>|\Z)",
-    re.S,
-)
+#: A tag up to its end. Possessive, so nothing is read twice; quotes count after an equals sign only.
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>\x00]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)>""")
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+VOID_END = re.compile(r"(?:^|[\s\"'])/\Z")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+CAMEL = re.compile(r"([a-z])([A-Z])")
 WORDS = re.compile(r"[a-z]+|\d+")
 SPACE = re.compile(r"\s+")
 COMMAS = re.compile(r"[,،、，﹐؛;]")
+NUMERIC = re.compile(r"&#(?:(\d{8,})|[xX]([0-9a-fA-F]{8,}));?")
 
 #: The content of these is not markup; it ends at their end tag.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROP = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "head", "nav", "footer", "aside", "form", "button", "select", "option", "datalist", "input", "label", "fieldset", "dialog", "menu", "svg", "math", "canvas", "audio", "video", "object", "embed", "applet", "map"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tablist", "status"}
+DROP = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "head", "nav", "footer", "aside", "button", "select", "option", "datalist", "input", "label", "fieldset", "dialog", "menu", "svg", "math", "canvas", "audio", "video", "object", "embed", "applet", "map"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tablist", "status"}
 #: In class or id, as words of their own.
 BAD = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "sponsors", "promo", "promotion", "promoted", "sidebar", "sidebars", "sidenav", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "footer", "masthead", "cookie", "cookies", "consent", "gdpr", "banner", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "respond", "replies", "related", "recommended", "recommendations", "trending", "pagination", "pager", "toolbar", "widget", "widgets", "skip", "skiplink", "legal", "copyright", "disclaimer", "outbrain", "taboola", "tags", "taglist", "alert"}
+#: Of these the ones that content is often named by, too.
+WEAK = {"alert", "banner", "legal", "menu", "menus", "overlay", "replies", "respond", "taglist", "tags", "toolbar", "widget", "widgets"}
+LAYOUT = set("area article articles bar block body bottom box btn button buttons card cards col column container content count div entry field fixed flex float form grid group head header heading holder icon icons id inline inner inside item items label large layout left line link links list main message mobile module outer page panel part post posts primary region right row secondary section single site size slot small span text thread title top unit ul user wide wrap wrapper xl".split())
 HEADER = {"header", "pageheader", "siteheader", "topbar"}
 PARTS = re.compile(r"sidebar|navbar|advert|sponsor|cookie|newsletter|comment(?!ary)|breadcrumb|popup|disqus|promo(?:box|tion)?\b|masthead|footer")
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption"}
@@ -64,137 +78,203 @@ IMPLIED = {
 }
 CLOSES_P = BLOCK - {"html", "body"}
 SCOPE = {"article", "aside", "blockquote", "body", "div", "fieldset", "figure", "footer", "form", "header", "html", "li", "main", "nav", "section", "table", "td", "th", "ul", "ol", "dl"}
-DEPTH = 400
+HEAD = {"title", "meta", "link", "base", "basefont", "bgsound", "script", "style", "noscript", "template", "head", "html"}
+OWN = {"p", "li", "pre", "td", "th", "dd", "dt", "blockquote", "figcaption"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "bad", "points", "size", "linked", "order")
+    __slots__ = ("tag", "parent", "kids", "bad", "doubt", "index", "last", "heading", "inside", "points", "size", "linked", "order", "keep")
 
-    def __init__(self, tag, parent, bad=False):
-        self.tag, self.parent, self.kids, self.bad = tag, parent, [], bad
-        self.points, self.size, self.linked, self.order = 0.0, 0, 0, 0
+    def __init__(self, tag: str, parent: Node | None, index: int):
+        self.tag, self.parent, self.index, self.last, self.kids = tag, parent, index, index, []
+        self.bad, self.doubt, self.heading, self.inside, self.keep = False, 0, False, False, False
+        self.points, self.size, self.linked, self.order = 0.0, 0, 0, -1
 
+    def holds(self, other: Node) -> bool:
+        return self.index <= other.index <= self.last
 
-def is_bad(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is boilerplate by its tag and attributes. ``inside``: within an article or main element."""
+
+def judge(tag: str, attrs: str, inside: bool) -> tuple[bool, int]:
+    """Whether an element is boilerplate by its tag and attributes, and the evidence for it if that isn't sure. ``inside``:
+    within an article or main element."""
     if tag in DROP:
-        return True
+        return True, 0
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return False
-    found = {k.lower(): unescape(a or b or c or "") for k, a, b, c in ATTR.findall(attrs)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
+        return False, 0
+    found = {k.lower(): decoded(a or b or c or "") for k, a, b, c in ATTR.findall(attrs)}
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDDEN.search(found.get("style", "")):
+        return True, 0
     if found.get("role", "").lower() in ROLES:
-        return True
+        return True, 0
     if tag in ("html", "body", "article", "main"):
-        return False
-    named = f"{found.get('class', '')} {found.get('id', '')}"
-    if named == " ":
-        return False
-    named = re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()
-    words = set(WORDS.findall(named))
-    return bool(words & BAD) or bool(PARTS.search(named)) or not inside and bool(words & HEADER)
-
-
-def parse(html: str) -> Node:
-    root = node = Node("#root", None)
-    depth, at, n, inside = 0, 0, len(html), 0
-    search = TOKEN.search
+        return False, 0
+    doubt = 0
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        name = CAMEL.sub(r"\1 \2", name).lower()
+        words = set(WORDS.findall(name))
+        if not inside:
+            if words & BAD or words & HEADER or PARTS.search(name):
+                return True, 0
+        elif words & BAD or PARTS.search(name):
+            other = any(not (w in BAD or w in LAYOUT or len(w) == 1 or w.isdigit() or PARTS.search(w)) for w in words)
+            doubt = max(doubt, (1 if words & BAD and words & BAD <= WEAK else 2) - other)
+    return False, doubt
+
+
+def parse(html: str) -> list[Node]:
+    """The elements in page order, the root first."""
+    root = Node("#root", None, 0)
+    nodes, stack = [root], [root]
+    opened: dict[str, list[int]] = {}  # of each tag the places of its open elements in the stack
+    blocks_open, scopes = [], [0]
+    at, n, inside, ends, sections = 0, len(html), 0, html.rfind(">"), html.rfind("]]>")
+
+    def close(place: int) -> None:
+        nonlocal inside
+        while len(stack) > place:
+            tag = stack.pop().tag
+            opened[tag].pop()
+            inside -= tag in ("article", "main")
+            if tag in BLOCK:
+                blocks_open.pop()
+            if tag in SCOPE:
+                scopes.pop()
+
+    def last(tag: str) -> int:
+        places = opened.get(tag)
+        return places[-1] if places else 0
+
+    def text(t: str) -> None:
+        if stack[-1].tag == "head" and not t.isspace():
+            close(len(stack) - 1)
+        stack[-1].kids.append(t)
+
     while at < n:
-        m = search(html, at)
-        if not m:
-            if at < n:
-                node.kids.append(html[at:])
+        start = html.find("<", at)
+        if start < 0 or start > ends:
+            text(html[at:])
             break
-        start = m.start()
         if start > at:
-            node.kids.append(html[at:start])
-        at = m.end()
-        tag = m["tag"]
-        if not tag:
+            text(html[at:start])
+        two = html[start + 1 : start + 2]
+        if two in ("!", "?") or two == "/" and not html[start + 2 : start + 3].isalpha():
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 2)
+                at = n if end < 0 else end + 3
+            else:
+                section = start < sections and html.startswith("<![CDATA[", start)
+                at = html.find("]]>", start) + 3 if section else html.find(">", start) + 1
             continue
-        tag = tag.lower()
-        if m["end"]:
-            if tag == "p" and not _open(node, "p", SCOPE):
-                continue
+        m = TAG.match(html, start)
+        if not m:
+            text("<")
+            at = start + 1
+            continue
+        at = m.end()
+        tag, attrs = m[2].lower(), m[3]
+        if m[1]:
             if tag == "br":
-                node.kids.append(" ")
+                stack[-1].kids.append(" ")
                 continue
-            fence = {"table"} if tag not in ("table", "html", "body") and tag in BLOCK else {"#root"}
-            found = _open(node, tag, fence - {tag})
-            if found and (tag in BLOCK or not _crosses(node, found)):
-                while True:
-                    inside -= node.tag in ("article", "main")
-                    depth -= 1
-                    done, node = node is found, node.parent
-                    if done:
-                        break
+            found = last(tag)
+            if tag == "p":
+                ok = found > scopes[-1]
+            elif tag in BLOCK:
+                ok = found > 0 and (tag in ("table", "html", "body") or found > last("table"))
+            else:
+                ok = found > (blocks_open[-1] if blocks_open else 0)  # no inline element closes a block inside it
+            if ok:
+                close(found)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
-            at = close.end()
+            m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at, ends + 1)
+            at = m.end() if m else n
             continue
-        if tag in CLOSES_P:
-            p = _open(node, "p", SCOPE)
-            if p:
-                while node is not p.parent:
-                    depth -= 1
-                    node = node.parent
-        if tag in HEADINGS and node.tag in HEADINGS:
-            depth -= 1
-            node = node.parent
+        if stack[-1].tag == "head" and tag not in HEAD:
+            close(len(stack) - 1)
+        if tag in CLOSES_P and last("p") > scopes[-1]:
+            close(last("p"))
+        if tag in HEADINGS and stack[-1].tag in HEADINGS:
+            close(len(stack) - 1)
         if tag in IMPLIED:
             shut, fence = IMPLIED[tag]
-            walk, last = node, None
-            while walk is not root and walk.tag not in fence:
-                if walk.tag in shut:
-                    last = walk
-                walk = walk.parent
-            if last:
-                while node is not last.parent:
-                    inside -= node.tag in ("article", "main")
-                    depth -= 1
-                    node = node.parent
-        if tag in VOID:
-            node.kids.append("\n" if tag == "br" else " " if tag in ("hr", "img", "input") else "")
-            if tag == "hr":
-                node.kids.append(Node("hr", node))
+            low = max(map(last, fence), default=0)
+            places = [p[k] for t in shut if (p := opened.get(t)) and (k := bisect_right(p, low)) < len(p)]
+            if places:
+                close(min(places))
+        node = stack[-1]
+        if tag in VOID and tag != "hr":
+            node.kids.append("\n" if tag == "br" else " " if tag in ("img", "input") else "")
             continue
-        child = Node(tag, node, is_bad(tag, m["attrs"], inside > 0))
+        child = Node(tag, node, len(nodes))
+        child.bad, child.doubt = judge(tag, attrs, inside > 0)
+        nodes.append(child)
         node.kids.append(child)
-        if not m["void"] and depth < DEPTH:
-            node = child
-            depth += 1
+        if tag != "hr" and not VOID_END.search(attrs):
+            opened.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks_open.append(len(stack))
+            if tag in SCOPE:
+                scopes.append(len(stack))
+            stack.append(child)
             inside += tag in ("article", "main")
-    return root
-
-
-def _open(node: Node, tag: str, fence: set) -> Node | None:
-    while node.parent is not None:
-        if node.tag == tag:
-            return node
-        if node.tag in fence:
-            return None
-        node = node.parent
-    return None
-
-
-def _crosses(node: Node, found: Node) -> bool:
-    """Whether closing an inline element would close a block inside it."""
-    while node is not found:
-        if node.tag in BLOCK:
-            return True
-        node = node.parent
-    return False
+    return nodes
+
+
+def settle(nodes: list[Node]) -> None:
+    """Decide on doubtful elements and forms, from the text that stands in them; fill ``last``, ``heading``, ``inside``."""
+    for x in nodes[1:]:
+        x.inside = x.parent.inside or x.parent.tag in ("article", "main", "section")
+    doubtful = any(x.doubt or x.tag == "form" for x in nodes)
+    size, linked = [0] * len(nodes), [0] * len(nodes)
+    forms, held = [], []
+    for x in reversed(nodes):
+        i = x.index
+        if doubtful:
+            size[i] += sum(len(k.strip()) for k in x.kids if isinstance(k, str))
+            if x.tag == "a":
+                linked[i] = size[i]
+            if x.doubt and x.doubt > (linked[i] < size[i] / 2):
+                x.bad = True
+            if x.tag in ("article", "main") and size[i]:
+                held.append(x)
+            if x.tag == "form" and not x.bad:
+                forms.append(x)
+                x.bad = True
+        up = x.parent
+        if up is not None:
+            up.last = max(up.last, x.last)
+            up.heading = up.heading or x.heading or x.tag in HEADINGS
+            if doubtful and not x.bad:
+                size[up.index] += size[i]
+                linked[up.index] += linked[i]
+    if forms:
+        dark = [False] * len(nodes)  # inside of something left out
+        for x in nodes[1:]:
+            dark[x.index] = dark[x.parent.index] or x.parent.bad
+        shown = [f for f in forms if not dark[f.index]]
+        total = size[0] + sum(size[f.index] for f in shown)
+        for f in shown:
+            if size[f.index] * 2 > total and all(f.holds(x) or x.holds(f) for x in held):
+                f.bad = False
+
+
+def decoded(raw: str) -> str:
+    """Character references decoded; numbers beyond Unicode, of any length, as U+FFFD."""
+    if "&" not in raw:
+        return raw
+    if "&#" in raw:
+        raw = NUMERIC.sub(lambda m: f"&#{'x' if m[2] else ''}{short};" if len(short := (m[1] or m[2]).lstrip("0") or "0") < 8 else "\ufffd", raw)
+    return unescape(raw)
 
 
 def clean(raw: str) -> str:
-    return SPACE.sub(" ", unescape(raw) if "&" in raw else raw).strip()
+    return SPACE.sub(" ", decoded(raw)).strip()
 
 
-def blocks(top: Node) -> list[tuple[Node, str, int]]:
+def blocks(root: Node) -> list[tuple[Node, str, int]]:
     """(block element, text, characters of it inside links) in page order, without boilerplate."""
-    out, run, state = [], [], [0]
+    out, run = [], []
 
     def flush(owner):
         if run:
@@ -203,130 +283,90 @@ def blocks(top: Node) -> list[tuple[Node, str, int]]:
                 out.append((owner, text, min(len(text), sum(len(clean(t)) for t, linked in run if linked))))
             run.clear()
 
-    def walk(node, owner, linked):
-        for k in node.kids:
+    stack = [(root, iter(root.kids), root, False)]
+    while stack:
+        node, kids, owner, linked = stack[-1]
+        for k in kids:
             if isinstance(k, str):
                 run.append((k, linked))
-            elif k.bad:
+            elif k.bad or k.tag == "header" and not (k.inside and k.heading):
                 if k.tag in BLOCK:
                     flush(owner)
-            elif k.tag == "header" and not _article_header(k):
-                flush(owner)
             elif k.tag in BLOCK:
                 flush(owner)
-                walk(k, k, linked)
-                flush(k)
+                stack.append((k, iter(k.kids), k, linked))
+                break
             else:
-                walk(k, owner, linked or k.tag == "a")
-
-    del state
-    walk(top, top, False)
-    flush(top)
+                stack.append((k, iter(k.kids), owner, linked or k.tag == "a"))
+                break
+        else:
+            stack.pop()
+            if node is owner:
+                flush(owner)
     return out
 
 
-def _article_header(node: Node) -> bool:
-    """A header is kept where it belongs to an article and has a heading."""
-    up = node.parent
-    while up is not None and up.tag not in ("article", "main", "section"):
-        up = up.parent
-    return up is not None and _has(node, HEADINGS)
-
-
-def _has(node: Node, tags: set) -> bool:
-    return any(not isinstance(k, str) and (k.tag in tags or _has(k, tags)) for k in node.kids)
+def weight(x: Node) -> float:
+    return x.points * (1 - x.linked / max(1, x.size))
 
 
 def extract(html: str | None) -> str:
     if not html:
         return ""
-    root = parse(html)
-    found = blocks(root)
+    nodes = parse(html)
+    settle(nodes)
+    found = blocks(nodes[0])
     if not found:
         return ""
-    scored: dict[int, Node] = {}
     for order, (owner, text, linked) in enumerate(found):
-        # sizes of text and links of every ancestor
-        node = owner
-        while node is not None:
-            node.size += len(text)
-            node.linked += linked
-            node = node.parent
+        owner.size += len(text)
+        owner.linked += linked
         if owner.tag in HEADINGS or len(text) < 25:
             continue
-        points = 1 + len(COMMAS.findall(text)) + min(len(text) // 100, 3)
-        points *= 1 - linked / len(text)
-        node, far = (owner.parent if owner.tag in ("p", "li", "pre", "td", "th", "dd", "dt", "blockquote", "figcaption") else owner), 0
-        while node is not None and node.parent is not None and far < 8:
-            node.points += points if far == 0 else points / 2 if far == 1 else points / (far * 3)
-            if id(node) not in scored:
-                node.order = order
-                scored[id(node)] = node
-            node, far = node.parent, far + 1
-    weight = lambda x: x.points * (1 - x.linked / max(1, x.size))
+        points = (1 + len(COMMAS.findall(text)) + min(len(text) // 100, 3)) * (1 - linked / len(text))
+        node = owner.parent if owner.tag in OWN and owner.parent is not None else owner
+        node.points += points
+        node.order = order if node.order < 0 else node.order
+    for x in reversed(nodes):  # from the leaves up
+        up = x.parent
+        if up is not None:
+            up.size += x.size
+            up.linked += x.linked
+            up.points += x.points / 2
+            if x.order >= 0:
+                up.order = x.order if up.order < 0 else min(up.order, x.order)
+    scored = [x for x in nodes if x.order >= 0]
     if scored:
-        best = max(scored.values(), key=lambda x: (weight(x), -x.order))
+        best = max(scored, key=lambda x: (weight(x), -x.order, x.index))
     else:  # short texts only: the article, main or body element, whichever is there
-        best = _first(root, ("article", "main", "body")) or root
-    up = best
-    while up is not None:
-        if up.tag in ("article", "main") and up is not best:
-            best_inside = up
-            others = [x for x in scored.values() if x is not best and _under(x, up) and not _under(best, x) and not _under(x, best)]
-            if not any(x.tag == "article" for x in others):
-                best = best_inside
-            break
+        best = next((x for tag in ("article", "main", "body") for x in nodes if x.tag == tag and not x.bad), nodes[0])
+    up = best.parent
+    while up is not None and up.tag not in ("article", "main"):
         up = up.parent
-    keep = {id(best)}
+    if up is not None and not any(x.tag == "article" and up.holds(x) and x is not up and not x.holds(best) and not best.holds(x) for x in scored):
+        best = up
+    best.keep = True
     if best.parent is not None and best.tag not in ("article", "main", "body"):
-        limit = max(10.0, weight(best) * 0.2)
-        texts: dict[int, list] = {}
-        for owner, text, linked in found:
-            node = owner
-            while node is not None and node.parent is not best.parent:
-                node = node.parent
-            if node is not None:
-                texts.setdefault(id(node), []).append((text, linked))
         kids = [k for k in best.parent.kids if not isinstance(k, str) and not k.bad]
-        for k in kids:
-            own = texts.get(id(k), [])
-            size, linked = sum(len(t) for t, _ in own), sum(n for _, n in own)
+        starts = [k.index for k in kids]
+        limit = max(10.0, weight(best) * 0.2)
+        ends = {}
+        for owner, text, _ in found:
+            at = bisect_right(starts, owner.index) - 1
+            if at >= 0 and kids[at].holds(owner):
+                ends[at] = text
+        for at, k in enumerate(kids):
             if weight(k) >= limit:
-                keep.add(id(k))
-            elif k.tag in ("p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure") and size:
-                density = linked / size
-                if size > 80 and density < 0.25 or size <= 80 and linked == 0 and k.tag == "p" and re.search(r"[.!?。！？][\"'”’)]*\Z", own[-1][0]):
-                    keep.add(id(k))
+                k.keep = True
+            elif k.tag in ("p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure") and k.size and at in ends:
+                if k.size > 80 and k.linked / k.size < 0.25 or k.size <= 80 and k.linked == 0 and k.tag == "p" and re.search(r"[.!?。！？][\"'”’)]*\Z", ends[at]):
+                    k.keep = True
         for k, after in zip(kids, kids[1:]):
-            if (k.tag in HEADINGS or k.tag == "header") and id(after) in keep:
-                keep.add(id(k))
-    chosen = []
-    for owner, text, _ in found:
-        node = owner
-        while node is not None and id(node) not in keep:
-            node = node.parent
-        if node is not None:
-            chosen.append(text)
-    return "\n\n".join(chosen)
-
-
-def _first(node: Node, tags: tuple) -> Node | None:
-    for tag in tags:
-        stack = [node]
-        while stack:
-            x = stack.pop()
-            if x.tag == tag and not x.bad:
-                return x
-            stack += [k for k in reversed(x.kids) if not isinstance(k, str)]
-    return None
-
-
-def _under(node: Node, top: Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.parent
-    return False
+            if (k.tag in HEADINGS or k.tag == "header") and after.keep:
+                k.keep = True
+    for x in nodes[1:]:
+        x.keep = x.keep or x.parent.keep
+    return "\n\n".join(text for owner, text, _ in found if owner.keep)
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -249,6 +249,40 @@ def test_html_rows(spark, sf):
         assert " ".join(html.extract(p.html).split()) == html.clean(re.sub(r"<[^>]*>", " ", body))
 
 
+TEXT = "A paragraph, with some text, and commas, that counts for the container, surely."
+
+
+@pytest.mark.parametrize("page", [f"<head><title>T</title><p>{TEXT}", f"<html><head><title>T</title>{TEXT}</html>", f"<body><form id=aspnetForm><input type=hidden><nav>Menu</nav><div><label>Search</label><p>{TEXT}</p></div></form>", f"<p>{TEXT}<p>&copy", f"<div><p>{TEXT}</div><div class=menu>Menu</div>"])
+def test_html_pages_without_structure(page):
+    assert html.extract(page).split("\n\n")[0] == TEXT and "Menu" not in html.extract(page) and "Search" not in html.extract(page)
+
+
+def test_html_names_inside_articles():
+    page = lambda name: f"<body><article><h1>T</h1><p>{TEXT}</p><div class='{name}'><p>And one more.</p></div></article><form><p>Your name, please, and more of it.</p></form>"
+    for name in ("share-price", "related-work", "menu-item-description", "legal", "notice-board", "story-text", "comment-on-the-law"):
+        assert html.extract(page(name)) == f"T\n\n{TEXT}\n\nAnd one more.", name
+    for name in ("ad", "ad-slot", "comments", "newsletter-signup", "cookie-notice", "share", "related-posts", "x sidebar"):
+        assert html.extract(page(name)) == f"T\n\n{TEXT}", name
+    links = page("menu").replace("And one more.", "<a href=/>Home</a> <a href=/>News</a>")
+    assert html.extract(links) == f"T\n\n{TEXT}"
+
+
+def test_html_depth_and_length(spark):
+    import time
+
+    deep = "<div>" * 5_000 + f"<nav>Menu entry</nav><p>{TEXT}</p>" + "</div>" * 5_000
+    pages = [deep, "<a " * 350_000, '<a "' * 250_000, "<a " * 350_000 + ">", '<a b="' * 150_000 + ">", "<![CDATA[" * 100_000 + ">", "<script>" + "</script " * 100_000, "<span>" * 20_000 + "<hr>" * 20_000, "<b>" * 5_000 + "<div>" + "</b>" * 50_000, "<form>a</form>" * 20_000, "<article>" * 5_000 + TEXT, "&#" + "1" * 100_000 + "; &#0000000065;", f"<div>{TEXT}" * 10_000]
+    for page in pages:
+        began = time.monotonic()
+        html.extract(page)
+        assert time.monotonic() - began < 5, page[:20]
+    assert html.extract(deep) == TEXT and html.extract(pages[-2]) == "\ufffd A" and html.extract(pages[-1]) == "\n\n".join([TEXT] * 10_000)
+    df = spark.createDataFrame([(0, deep, "u", 1, 2)], "page_id long, html string, url string, text int, n_chars int")
+    got = html.extract_text(df)
+    assert [tuple(r) for r in got.select("page_id", "url", "n_chars", "text").collect()] == [(0, "u", 2, TEXT)]
+    assert html.extract_text(df.limit(0)).count() == 0
+
+
 def test_chats(spark):
     t = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (2, 2, "user", "more"), (3, 0, "user", "hi"), (3, 1, "assistant", "no"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"),
