@@ -62,6 +62,48 @@ def test_ann_few(spark):
     assert ann.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_ann_repeated_rows(spark):
+    """Every row but the query's own, told by row and not by id; lengths apart; each query row answered."""
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 0.0]), (0, [0.9, 0.1]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (50, [0.0, 2.0]), (50, [0.0, 2.0]), (50, [0.0, 2.0]), (7, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.0]), (150, [1.0, 2.0, 2.0]), (200, [4.0])]
+    rows += [(int(i), rng.standard_normal(2).tolist()) for i in rng.integers(2, 40, 60)] + [(8, [-1.0, 0.0]), (8, None), (9, [])]
+    v = spark.createDataFrame([(i, x, "x", 1) for i, x in rows], "vec_id long, embedding array<double>, q string, own int").repartition(5)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(v, v.where("vec_id % 50 = 0")).collect())
+    want = []
+    for n, (i, x) in enumerate(rows):
+        if i % 50 == 0 and x:
+            cos = lambda y: float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+            near = sorted((-round(cos(y), 12), j) for m, (j, y) in enumerate(rows) if m != n and y and len(y) == len(x))[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(near)]
+    want.sort()
+    assert [(r[0], r[1], r[2]) for r in got] == [(r[0], r[1], r[2]) for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-11)
+    assert sum(r[0] == 50 for r in got) == 15 and any(r[0] == r[2] for r in got)
+
+
+def test_hadamard():
+    for width in (1, 2, 16, 64, 128):
+        h = np.ones((1, 1), np.float32)
+        while len(h) < width:
+            h = np.block([[h, h], [h, -h]])
+        x = np.random.default_rng(width).standard_normal((3, width)).astype(np.float32)
+        assert np.allclose(np.sort(ann.hadamard(x)), np.sort(x @ h), atol=1e-4)
+
+
+def test_ann_candidates():
+    """Buckets that are probed are those whose axes reach far enough, and no others."""
+    rng = np.random.default_rng(9)
+    x = ann.unit(rng.standard_normal((3_000, 24)))
+    r = ann.Rotations(24, 5)
+    far = np.full((40, len(x)), -np.inf)
+    for t in range(5):
+        axes = r.axes(x, t)
+        far = np.maximum(far, sum(y[:, a] for y, a in zip(r.signed(x[:40], t), axes)))
+    mark = ann.candidates(r, ann.buckets(r, x), x[:40], len(x), 1.1)
+    sure = np.abs(far - 1.1) > 1e-4
+    assert (mark == (far >= 1.1))[sure].all() and 0.001 < mark.mean() < 0.9 and mark[np.arange(40), np.arange(40)].all()
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     clean = ["".join(rng.choices("aeioust", k=rng.randint(2, 6))) for _ in range(300)]
