@@ -295,6 +295,31 @@ def test_chats(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chats_against_brute_force(spark):
+    """Long, tied, repeated and cumulative conversations over many small partitions."""
+    rng = random.Random(8)
+    turns = []
+    for c in range(60):
+        start = rng.randrange(3)
+        n = rng.choice([1, 2, 5, 40]) if c != 30 else 600
+        turns += [(c, k, ["user", None, "tool"][(k + start) % 3], f"t{start} {k}" if rng.random() < 0.98 else None) for k in range(n)]
+    turns += [(70, None, "user", f"tie {k}") for k in range(50)] + [(71, None, "user", f"tie {k}") for k in range(40)] + [(72, None, "user", "tie 0"), (72, 0, "user", "b"), (72, 0, "user", None), (72, 0, None, "b")]
+    turns += rng.choices(turns, k=300)
+    rng.shuffle(turns)
+    low = lambda x: (x is not None, x if x is not None else 0)
+    text = lambda x: (x is not None, x or "")
+    whole = {}
+    for c, t, r, x in sorted(set(turns), key=lambda y: (y[0], low(y[1]), text(y[2]), text(y[3]))):
+        whole.setdefault(c, []).append((r, x))
+    kept = [c for c, own in whole.items() if not any(o[: len(own)] == own and (len(o) > len(own) or d < c) for d, o in whole.items() if d != c)]
+    want = {c: "".join(f"<|im_start|>{r or 'unknown'}\n{x or ''}<|im_end|>\n" for r, x in whole[c]) for c in kept}
+    got = {}
+    for r in chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(6)).orderBy("conv_id", "place").collect():
+        got[r.conv_id] = got.get(r.conv_id, "") + r.segment
+        assert r.n_turns == len(whole[r.conv_id])
+    assert got == want and 30 in got and 1 < len(kept) < len(whole)
+
+
 def test_registered():
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in registry.QUERIES) == 1
