@@ -9,6 +9,8 @@ linked with the document's node.
 
 Texts without words (empty ones, punctuation alone) are linked with nothing; equal ones are one node. A null text is a
 class of its own, as is a row with a null id (whose class is null). Rows are kept one for one; repeated ids share a class.
+Only the id and the text are looked at; other columns, whatever their names, are left out by ``near_duplicates`` and kept as
+they are by ``representatives``.
 
 Search. Sizes fall into ranges, each RATIO of the next, so partners lie in neighbouring ranges. Ranges are split by hash
 into shards of about ``SHARD`` nodes; each shard builds its own small-world graph (nodes inserted in batches, each joined
@@ -405,21 +407,16 @@ def op7_simhash_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: Ids that a broadcast may hold: 8 bytes each, about 32 MB as a hash table.
-DROPPED = 1_000_000
-
-
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay when of each class only the document of the smallest id does. Of rows that share
     that id one stays; rows without an id or a text are in no class and stay.
 
-    The ids to drop are counted: up to ``DROPPED`` they are broadcast and the texts stay where they are; beyond, texts and
-    ids are joined by id, which shuffles the texts once.
+    Texts and the ids to drop are joined by id, which shuffles the texts once, by the same plan at every size; AQE splits a
+    hot id, as the join keeps rows of the texts' side.
     """
     found = cut(near_duplicates(docs, text, doc_id), "neardup")
-    gone = cut(found.where("doc_id <> class_id").select(F.col("doc_id").alias(doc_id)).distinct(), "neardup")
-    small = gone.count() <= DROPPED
-    left = docs.join(F.broadcast(gone) if small else gone.hint("merge"), doc_id, "left_anti").select(*map(_q, docs.columns))
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    left = docs.join(gone.hint("merge"), doc_id, "left_anti").select(*map(_q, docs.columns))
     again = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(doc_id))
     again = cut(again, "neardup")
     if again.isEmpty():

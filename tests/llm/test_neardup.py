@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ctxgraph.llm import neardup
 from ctxgraph.llm.components import components
@@ -145,8 +146,6 @@ def test_representatives(spark):
     kept = neardup.representatives(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "no id"), (1, base), (3, "lone words"), (4, ""), (5, "")]
-    try:
-        neardup.DROPPED = 0
-        assert kept.count() == neardup.representatives(docs).count()
-    finally:
-        neardup.DROPPED = 1_000_000
+    clash = docs.withColumns({c: F.lit(7) for c in ("class_id", "n_links", "sig", "node", "digest")})
+    assert neardup.representatives(clash).columns == clash.columns and neardup.representatives(clash).count() == 5
+    assert neardup.representatives(docs.limit(0)).count() == 0
