@@ -108,21 +108,28 @@ def mentions(texts: DataFrame, code: DataFrame) -> DataFrame:
 
     An equi-join, not a comparison of every text with every name: a whole-word mention of a name begins a run of word
     characters, dots, slashes and hyphens, so the prefixes of a text's distinct runs that end before a non-word character
-    are looked up among the names; paths are looked up at every part of a run likewise, and each hit is tested. Names with
-    other characters than those of runs, and the path of a file at the root, which is its name, are tested as names.
+    are looked up among the names. A path ends in its name, after a slash, so prefixes of the parts of a run are looked up
+    likewise, and the folders before must end the run's text up to there. Only prefixes as long as some name are made and
+    only as many folders kept as a path has, so a run costs as much as it is long. Names with other characters than
+    those of runs, and the path of a file at the root, which is its name, are tested as names.
     """
     names = code.select(F.col("path").alias("dst"), paths.name(F.col("path")).alias("name"), F.col("path").contains("/").alias("nested"))
     plain = names.where(F.col("name").rlike(r"\A" + RUN + r"\z"))
     odd = names.where(~F.col("name").rlike(r"\A" + RUN + r"\z"))
-    runs = texts.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({RUN})"), F.lit(1)))).alias("run"))
-    # ends of prefixes: before a character that isn't a word character, or the end
-    ends = F.filter(F.sequence(F.lit(1), F.length("run")), lambda i: (i == F.length("run")) | ~F.substring("run", i + 1, F.lit(1)).rlike(r"(?U)\w"))
-    heads = runs.select("path", F.explode(F.transform(ends, lambda i: F.substring("run", F.lit(1), i))).alias("name"))
-    by_name = heads.distinct().join(plain, "name").select("path", "dst")
-    # a path in a run: its name begins after a slash; any prefix of that part may be the name
-    parts = runs.where(F.col("run").contains("/")).select("path", "run", F.explode(F.array_distinct(F.slice(F.split("run", "/"), 2, 1 << 20))).alias("part"))
-    prefixes = parts.where("part <> ''").select("path", "run", F.explode(F.transform(F.sequence(F.lit(1), F.length("part")), lambda i: F.substring("part", F.lit(1), i))).alias("name"))
-    by_path = prefixes.join(plain.where("nested"), "name").where(F.col("run").contains(F.col("dst"))).select("path", "dst")
+    # one row: the lengths of names (of files, so a few hundred at most) and the depth of the deepest path
+    sizes = plain.agg(F.coalesce(F.array_sort(F.collect_set(F.length("name"))), F.array().cast("array<int>")).alias("lengths"), F.coalesce(F.max(F.size(F.split("dst", "/"))), F.lit(1)).alias("depth"))
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({RUN})"), F.lit(1)))
+    runs = texts.select("path", F.explode(found).alias("run")).join(F.broadcast(sizes))
+    prefix = lambda c, n: F.substring(c, F.lit(1), n)
+    # before a character that isn't a word character, or the end
+    whole = F.filter("lengths", lambda n: (n == F.length("run")) | (n < F.length("run")) & ~F.substring("run", n + 1, F.lit(1)).rlike(r"(?U)\w"))
+    heads = runs.select("path", F.explode(F.transform(whole, lambda n: prefix(F.col("run"), n))).alias("name"))
+    by_name = heads.join(plain, "name").select("path", "dst")
+    parts = runs.where(F.col("run").contains("/")).withColumn("parts", F.split("run", "/"))
+    above = lambda i: F.array_join(F.slice("parts", F.greatest(F.lit(1), i - F.col("depth") + 1), F.least(F.col("depth") - 1, i - 1)), "/")
+    each = parts.select("path", "lengths", F.explode(F.transform(F.sequence(F.lit(2), F.size("parts")), lambda i: F.struct(F.element_at("parts", i).alias("part"), above(i).alias("folder")))).alias("p"))
+    each = each.select("path", "p.folder", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("p.part")), lambda n: prefix(F.col("p.part"), n))).alias("name"))
+    by_path = each.join(plain.where("nested"), "name").where(F.endswith(F.concat_ws("/", "folder", "name"), F.col("dst"))).select("path", "dst")
     rest = texts.join(odd, F.col("text").contains(F.col("name"))).where(T.mentions(F.col("text"), F.col("dst")) | T.mentions(F.col("text"), F.col("name"))).select("path", "dst")
     # a path at an odd place: with characters outside runs in a folder
     strange = plain.where("nested").where(~F.col("dst").rlike(r"\A" + RUN + r"\z"))

@@ -44,14 +44,20 @@ def _branch(rows: DataFrame, number: int, score, kind, label, seed=None, seed_or
     return rows.select("path", as_col(score, "int").alias("score"), as_col(kind, "string").alias("kind"), as_col(label, "string").alias("label"), as_col(seed, "string").alias("seed"), as_col(seed_ord if seed_ord is not None else -1, "long").alias("seed_ord"), F.lit(number).alias("branch"))
 
 
-def snapshot_reasons(files: DataFrame, config: Config = Config()) -> DataFrame:
-    """One reason for each file: code by entrypoint, test or else; support by category; the rest."""
+def snapshot_scores(files: DataFrame, config: Config = Config()) -> DataFrame:
+    """``files`` that count, with ``score``, ``reason`` (its kind) and ``label``: by entrypoint, test or else for code, by
+    category for support. Row by row, without a join or an aggregation."""
     p, kind, s = F.col("path"), F.col("kind"), config.score
     is_test = T.is_test(p, config.python.test_roots)
     what = F.when(kind == "code", F.when(is_entrypoint(p, config), "entrypoint").when(is_test, "test_file").otherwise("code_file")).when(kind == "support", F.lit("project_support") if config.support else None).when(kind == "other", "other_file")
-    points = F.when(F.col("what") == "entrypoint", s("entrypoint_file")).when(F.col("what") == "test_file", s("test_file")).when(F.col("what") == "code_file", s("code_file")).when(F.col("what") == "other_file", s("other_file")).otherwise(support_base(F.col("support_category"), config))
-    label = F.when(F.col("what") == "project_support", F.coalesce("support_category", F.lit("support file"))).otherwise(F.element_at(F.create_map(*[F.lit(x) for k in ("code_file", "entrypoint", "other_file", "test_file") for x in (k, _TEXTS[k])]), F.col("what")))
-    return _branch(files.withColumn("what", what).where("what IS NOT NULL"), 0, points, F.col("what"), label)
+    points = F.when(F.col("reason") == "entrypoint", s("entrypoint_file")).when(F.col("reason") == "test_file", s("test_file")).when(F.col("reason") == "code_file", s("code_file")).when(F.col("reason") == "other_file", s("other_file")).otherwise(support_base(F.col("support_category"), config))
+    label = F.when(F.col("reason") == "project_support", F.coalesce("support_category", F.lit("support file"))).otherwise(F.element_at(F.create_map(*[F.lit(x) for k in ("code_file", "entrypoint", "other_file", "test_file") for x in (k, _TEXTS[k])]), F.col("reason")))
+    return files.withColumn("reason", what).where("reason IS NOT NULL").withColumns({"score": points.cast("int"), "label": label})
+
+
+def snapshot_reasons(files: DataFrame, config: Config = Config()) -> DataFrame:
+    """One reason for each file."""
+    return _branch(snapshot_scores(files, config), 0, F.col("score"), F.col("reason"), F.col("label"))
 
 
 def focused_reasons(files: DataFrame, edges: DataFrame, seeds: DataFrame, config: Config = Config()) -> DataFrame:
@@ -126,13 +132,17 @@ def near(rows: DataFrame, seed: DataFrame, above=None) -> DataFrame:
 
 
 def related(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(file_stem, seed_stem) of stems of which one contains the other: all substrings of either are looked up among the
-    other's stems."""
-    subs = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substring(c, i, n)))))
+    """(file_stem, seed_stem) of stems of which one contains the other: substrings of either that are as long as some of
+    the other's stems are looked up among them. Seeds are few, so a file's stem has few lengths to try."""
     a, b = a.where("file_stem <> ''"), b.where("seed_stem <> ''")
-    inside = a.select("file_stem", F.explode(subs(F.col("file_stem"))).alias("seed_stem")).join(b, "seed_stem").select("file_stem", "seed_stem")
-    around = b.select("seed_stem", F.explode(subs(F.col("seed_stem"))).alias("file_stem")).join(a, "file_stem").select("file_stem", "seed_stem")
-    return inside.unionByName(around).distinct()
+
+    def inside(outer: DataFrame, stem: str, inner: DataFrame, part: str) -> DataFrame:
+        lengths = inner.agg(F.coalesce(F.collect_set(F.length(part)), F.array().cast("array<int>")).alias("lengths"))  # one row
+        starts = lambda n: F.transform(F.sequence(F.lit(1), F.length(stem) - n + 1), lambda i: F.substring(F.col(stem), i, n))
+        parts = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length(stem)), starts)))
+        return outer.join(F.broadcast(lengths)).select(stem, F.explode(parts).alias(part)).join(inner, part).select("file_stem", "seed_stem")
+
+    return inside(a, "file_stem", b, "seed_stem").unionByName(inside(b, "seed_stem", a, "file_stem")).distinct()
 
 
 def merge(reasons: DataFrame, config: Config = Config(), bonus: bool = True) -> DataFrame:
@@ -190,6 +200,7 @@ def ranked(rows: DataFrame) -> DataFrame:
     from ..session import cut
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(rows, "ranked")  # ranging reads its input twice
     own = cut(rows.repartitionByRange(n, *order()).withColumn("part", F.spark_partition_id()), "ranked")
     counts = {r.part: r.n for r in own.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each partition
     before, total = {}, 0

@@ -497,10 +497,8 @@ def budget_greedy(spark, sf):
 
 
 def _ranked(spark, sf) -> DataFrame:
-    f = files(spark, sf)
-    scores = scoring.merge(scoring.snapshot_reasons(f), bonus=False).select("path", "score")
-    rows = scores.join(f, "path").withColumn("tokens", T.tokens_from_bytes(F.col("size_bytes"), F.col("language")))
-    return scoring.ranked(rows)
+    rows = scoring.snapshot_scores(files(spark, sf)).drop("reason", "label")
+    return scoring.ranked(rows.withColumn("tokens", T.tokens_from_bytes(F.col("size_bytes"), F.col("language"))))
 
 
 def _ladder(target: int, hard: int) -> str:
