@@ -65,8 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
-    docs = session.table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again. What a stage wrote on its
+    way goes when its result is there, and so does the result before."""
+    docs, since = session.table(spark, sf_dir, "documents"), session.cuts_so_far(spark)
     for name, stage in STAGES[:-1]:
         docs = session.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        session.drop_cuts(spark, since, docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -48,8 +48,8 @@ def exact_tokens(df, text: str = "text", out: str = "n_tokens", vocabulary=None,
     """Exact byte-level BPE counts with a vocabulary of ranks, where the caller has one (a path to a rank file)."""
     import pyarrow as pa
 
-    schema = df.withColumn(out, F.lit(0).cast("long")).schema
-    names = df.columns
+    kept = [c for c in df.columns if c != out]
+    schema = df.select(*kept).withColumn(out, F.lit(0).cast("long")).schema
 
     def run(batches):
         import base64
@@ -61,7 +61,7 @@ def exact_tokens(df, text: str = "text", out: str = "n_tokens", vocabulary=None,
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             n = pa.array([len(own.encode_ordinary(x.as_py() or "")) for x in b.column(text)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, n], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), n], names=[*kept, out])
 
     return df.mapInArrow(run, schema)
 

@@ -119,7 +119,7 @@ def mentions(texts: DataFrame, code: DataFrame) -> DataFrame:
     # one row: the lengths of names (of files, so a few hundred at most) and the depth of the deepest path
     sizes = plain.agg(F.coalesce(F.array_sort(F.collect_set(F.length("name"))), F.array().cast("array<int>")).alias("lengths"), F.coalesce(F.max(F.size(F.split("dst", "/"))), F.lit(1)).alias("depth"))
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({RUN})"), F.lit(1)))
-    runs = texts.select("path", F.explode(found).alias("run")).join(F.broadcast(sizes))
+    runs = texts.select("path", F.explode(found).alias("run")).join(F.broadcast(sizes)).where(F.length("run") >= F.get("lengths", F.lit(0)))
     prefix = lambda c, n: F.substring(c, F.lit(1), n)
     # before a character that isn't a word character, or the end
     whole = F.filter("lengths", lambda n: (n == F.length("run")) | (n < F.length("run")) & ~F.substring("run", n + 1, F.lit(1)).rlike(r"(?U)\w"))
@@ -128,7 +128,7 @@ def mentions(texts: DataFrame, code: DataFrame) -> DataFrame:
     parts = runs.where(F.col("run").contains("/")).withColumn("parts", F.split("run", "/"))
     above = lambda i: F.array_join(F.slice("parts", F.greatest(F.lit(1), i - F.col("depth") + 1), F.least(F.col("depth") - 1, i - 1)), "/")
     each = parts.select("path", "lengths", F.explode(F.transform(F.sequence(F.lit(2), F.size("parts")), lambda i: F.struct(F.element_at("parts", i).alias("part"), above(i).alias("folder")))).alias("p"))
-    each = each.select("path", "p.folder", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("p.part")), lambda n: prefix(F.col("p.part"), n))).alias("name"))
+    each = each.where(F.length("p.part") >= F.get("lengths", F.lit(0))).select("path", "p.folder", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("p.part")), lambda n: prefix(F.col("p.part"), n))).alias("name"))
     by_path = each.join(plain.where("nested"), "name").where(F.endswith(F.concat_ws("/", "folder", "name"), F.col("dst"))).select("path", "dst")
     rest = texts.join(odd, F.col("text").contains(F.col("name"))).where(T.mentions(F.col("text"), F.col("dst")) | T.mentions(F.col("text"), F.col("name"))).select("path", "dst")
     # a path at an odd place: with characters outside runs in a folder

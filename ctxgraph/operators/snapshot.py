@@ -45,8 +45,9 @@ def prune_cache(cache: DataFrame, files: DataFrame, max_entries: int) -> DataFra
 
 
 def write(path: str, files: DataFrame, edges: DataFrame, config_hash: str) -> None:
+    """Edges first, so that a run that is broken off leaves no signatures that they don't belong to."""
+    edges.withColumn("config_hash", F.lit(config_hash)).write.mode("overwrite").parquet(f"{path}/edges")
     files.select("path", *SIGNATURE).withColumn("config_hash", F.lit(config_hash)).write.mode("overwrite").parquet(f"{path}/files")
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
 def read(spark, path: str, config_hash: str) -> tuple[DataFrame, DataFrame] | None:
@@ -56,8 +57,10 @@ def read(spark, path: str, config_hash: str) -> tuple[DataFrame, DataFrame] | No
 
     try:
         files, edges = spark.read.parquet(f"{path}/files"), spark.read.parquet(f"{path}/edges")
-        if files.where(F.col("config_hash") != config_hash).isEmpty() and not files.isEmpty():
-            return files.drop("config_hash"), edges
+        if files.isEmpty():
+            return None
+        if files.where(F.col("config_hash") != config_hash).isEmpty() and edges.where(F.col("config_hash") != config_hash).isEmpty():
+            return files.drop("config_hash"), edges.drop("config_hash")
     except (AnalysisException, Py4JJavaError):
         pass
     return None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import config as settings
 from .functions import text as T
-from .operators import budget, extract, ranking, relations, report, scoring
+from .operators import budget, extract, ranking, relations, report, scoring, snapshot
 from .render import exports, reports
 from .session import cut
 from .sources import scan
@@ -55,6 +57,21 @@ def load_config(paths, config_path=None, profile=None, **overrides) -> tuple[set
     return settings.with_overrides(settings.with_profile(c, profile), **overrides), root
 
 
+def relate(spark: SparkSession, root: Path, files: DataFrame, texts: DataFrame, c: settings.Config) -> tuple[DataFrame, bool]:
+    """(edges, whether they were restored): those of the snapshot in the cache folder if no file was added, modified or
+    deleted since and all that resolution depends on is the same; else they are built from the texts and kept there."""
+    outside = [_tree_text(root, name) for name in ("tsconfig.json", "package.json", "go.mod")]
+    key = hashlib.sha256(json.dumps([settings.scan_hash(c), *outside]).encode()).hexdigest()
+    store = f"file://{root / c.cache.dir / 'graph'}"
+    before = snapshot.read(spark, store, key)
+    if before is not None and snapshot.changed(files, before[0]).isEmpty():
+        return before[1], True
+    imports = extract.import_edges(files, texts, c, extract.js_aliases(*outside[:2]), extract.go_module(outside[2]))
+    edges = cut(relations.build(files, texts, imports), "edges")
+    snapshot.write(store, files, edges, key)
+    return edges, False
+
+
 def build_pack(
     spark: SparkSession, paths, config_path=None, profile=None, output=None, output_format=None, only_tree=None, modules=None, support=None,
     max_files=None, max_tokens=None, min_score=None, support_content=None, progress_callback=None, project=False, path_base="project",
@@ -82,9 +99,8 @@ def build_pack(
     files, seeds = cut(files, "files"), cut(seeds, "seeds")
     done("scan")
     texts = scan.read_texts(files)
-    imports = extract.import_edges(files, texts, c, extract.js_aliases(_tree_text(root, "tsconfig.json"), _tree_text(root, "package.json")), extract.go_module(_tree_text(root, "go.mod")))
-    edges = cut(relations.build(files, texts, imports), "edges")
-    done("graph_build")
+    edges, restored = relate(spark, root, files, texts, c)
+    done("graph_restore" if restored else "graph_build")
     names = [r.seed_rel for r in seeds.select("seed_ord", "seed_rel").distinct().orderBy("seed_ord").collect()]
     pack = Pack(root, c, mode, names, files, edges, files, bool(c.only_tree), timings=timings)
     explicit = seeds if mode == "focused" else seeds.where("NOT is_dir")

@@ -34,7 +34,7 @@ def fence(text: str) -> str:
 
 
 def cell(text: str) -> str:
-    return " ".join("\\|".join(text.split("|")).split("\n"))
+    return text.translate({ord("|"): r"\|", ord("\n"): " "})
 
 
 def numbered(text: str, item: str, language: str) -> str:
@@ -44,7 +44,7 @@ def numbered(text: str, item: str, language: str) -> str:
         m = re.match(r"\s*(?:async\s+)?(?:class|def)\s+(\w+)", line) if language == "python" else None
         if m:
             out.append(f"# @{item}:{m[1]}")
-        out.append(f"{n:04d} " + line)
+        out.append(f"{n:04d} {line}")
     return "\n".join(out)
 
 

@@ -56,18 +56,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again. Survives the loss of any executor."""
+    """Cut the lineage: write to the shared folder and read again. Survives the loss of any executor. All tables of an
+    application are in one folder of its own there, ``scratch_dir``, which is to be deleted when its results are read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _cuts(spark).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ctxgraph_path = path
     return out
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/ctxgraph-{spark.sparkContext.applicationId}"
+
+
+def _cuts(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_ctxgraph_cuts"):
+        sc._ctxgraph_cuts = []
+    return sc._ctxgraph_cuts
+
+
+def cuts_so_far(spark: SparkSession) -> int:
+    return len(_cuts(spark))
+
+
+def drop_cuts(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete what ``cut`` wrote since then, but for one table; only when no later plan reads the others."""
+    made = _cuts(spark)
+    for path in [p for p in made[since:] if p != keep._ctxgraph_path]:
+        _delete(spark, path)
+        made.remove(path)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete what ``cut`` wrote; only for a table that no later plan reads."""
-    spark, path = df.sparkSession, df._ctxgraph_path
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    _delete(df.sparkSession, df._ctxgraph_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

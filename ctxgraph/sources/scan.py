@@ -1,12 +1,14 @@
 """A source tree as tables: files with their signatures, and their texts.
 
-Folders that are ignored are pruned while walking. The walk is the driver's; contents are read by the workers, a bounded
-batch of paths at a time, and only those of files that a query keeps. Names that begin with a dot or an underscore
-count like all others.
+Folders that are ignored are pruned while walking. The workers list: a task follows the folders that it is given until it
+has seen ``PER_TASK`` entries and hands the rest on to the next round, so a small tree takes one round and a large one is
+spread. Contents are read by the workers too, a bounded batch of paths at a time, and only those of files that a query keeps.
+Names that begin with a dot or an underscore count like all others; links to folders aren't followed.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 from pathlib import Path
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import paths
 from ..operators import classify
+from ..session import cut
 
 LISTED = "path string, abs_path string, size_bytes long, mtime_ns long"
 PER_TASK = 2_000
@@ -52,27 +55,59 @@ def ignore_rules(root: str | Path, config: Config = Config()) -> list[tuple[bool
     return paths.parse_ignore_file(own.read_text(errors="ignore")) if config.use_gitignore and own.is_file() else []
 
 
-def walk(root: str | Path, config: Config = Config()):
-    """(path, absolute path, size, mtime) of the files below a folder, by path, without pruned folders."""
-    root, rules = Path(root).resolve(), ignore_rules(root, config)
-    for here, folders, names in os.walk(root):
-        rel = os.path.relpath(here, root).replace(os.sep, "/")
-        inside = "" if rel == "." else rel + "/"
-        folders[:] = sorted(f for f in folders if not _pruned(inside + f, config, rules))
-        for name in sorted(names):
-            full = os.path.join(here, name)
+def listing(spark: SparkSession, root: str | Path, config: Config = Config(), most: int = PER_TASK) -> DataFrame:
+    """(path, abs_path, size_bytes, mtime_ns) of the files below a folder, without pruned folders."""
+    root, rules = str(Path(root).resolve()), ignore_rules(root, config)
+    utf8 = lambda x: os.fsencode(x).decode("utf-8", "replace")
+
+    def below(folder: str):
+        """(relative path, size, mtime or -1 for a folder to be listed later)"""
+        stack, seen = [folder], 0
+        while stack and seen < most:
+            rel = stack.pop()
             try:
-                s = os.stat(full)
+                entries = list(os.scandir(os.path.join(root, rel)))
             except OSError:
                 continue
-            yield inside + name, full, s.st_size, s.st_mtime_ns
+            for e in entries:
+                path = f"{rel}/{e.name}" if rel else e.name
+                try:
+                    if e.is_dir(follow_symlinks=False):
+                        if not _pruned(path, config, rules):
+                            stack.append(path)
+                    elif not e.is_dir():
+                        s = e.stat()
+                        yield path, s.st_size, s.st_mtime_ns
+                except OSError:
+                    continue
+            seen += len(entries)
+        for rel in stack:
+            yield rel, None, -1
+
+    def run(batches):
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                rows = below(folder)
+                while part := list(itertools.islice(rows, PER_TASK)):
+                    path, size, time = zip(*part)
+                    columns = [pa.array(map(utf8, path), pa.string()), pa.array([utf8(os.path.join(root, p)) for p in path], pa.string()), pa.array(size, pa.int64()), pa.array(time, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["path", "abs_path", "size_bytes", "mtime_ns"])
+
+    folders, out = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        found = cut(folders.mapInArrow(run, LISTED), "listing")
+        files = found.where("size_bytes IS NOT NULL")
+        out = files if out is None else out.unionByName(files)
+        folders = found.where("size_bytes IS NULL").select("path")
+        if folders.isEmpty():
+            return out
+        folders = folders.repartition(spark.sparkContext.defaultParallelism)
 
 
 def scan(spark: SparkSession, root: str | Path, config: Config = Config()) -> DataFrame:
     """Classified files of a tree: path, abs_path, kind, language, size_bytes, is_binary, support_category, content_policy,
     mtime_ns."""
-    listed = spark.createDataFrame(list(walk(root, config)), LISTED)
-    kept = classify.classify(listed, config, ignore_rules(root, config))
+    kept = classify.classify(listing(spark, root, config), config, ignore_rules(root, config))
     ext = F.regexp_extract(F.lower(paths.suffix(F.col("path"))), r"\A\.(.*)\z", 1)
     known = ext.isin(*sorted(classify.TEXT | classify.BINARY))
     sure = kept.where(known).withColumn("is_binary", classify.is_binary(F.col("path")))

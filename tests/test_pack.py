@@ -4,6 +4,8 @@ import pytest
 
 from ctxgraph import build_and_write_pack, build_pack, cli
 from ctxgraph import config as settings
+from ctxgraph import pack as packs
+from ctxgraph.operators import extract
 from ctxgraph.plans import fixtures
 from ctxgraph.render import exports, reports
 from ctxgraph.sources import scan
@@ -36,6 +38,37 @@ def test_scan(spark, tree):
     assert {r.path: r.text for r in scan.read_texts(scan.scan(spark, tree)).collect()}["odd.py"] == "hello � world"
 
 
+def test_listing_in_rounds(spark, tree):
+    for k in range(12):
+        (tree / f"deep/d{k}/e/f").mkdir(parents=True)
+        (tree / f"deep/d{k}/e/f/m.py").write_text("x")
+        (tree / f"deep/d{k}/m.py").write_text("xy")
+    (tree / "link").symlink_to(tree / "src")
+    whole = scan.listing(spark, tree).collect()
+    assert sorted(whole) == sorted(scan.listing(spark, tree, most=2).collect())
+    want = {str(p.relative_to(tree)): p.stat().st_size for p in tree.rglob("*") if p.is_file() and "node_modules" not in p.parts and "link" not in p.parts}
+    assert {r.path: r.size_bytes for r in whole} == want and len(whole) == len(want)
+    assert scan.listing(spark, tree / "deep/d1/e").collect()[0].path == "f/m.py"
+
+
+def test_unchanged_tree_is_restored(spark, tree, monkeypatch):
+    """A second run reads no text to relate files; a change of a file or of the settings builds anew."""
+    first = build_pack(spark, [tree / "src/app/auth.py"])
+    edges = sorted(map(str, first.edges.collect()))
+    assert "graph_build" in first.timings and edges
+    real, calls = packs.extract.import_edges, []
+    monkeypatch.setattr(packs.extract, "import_edges", lambda *a: calls.append(1) or real(*a))
+    again = build_pack(spark, [tree / "src/app/auth.py"])
+    assert "graph_restore" in again.timings and not calls and sorted(map(str, again.edges.collect())) == edges and again.rows == first.rows
+    (tree / "src/app/new.py").write_text("from app import auth\n")
+    third = build_pack(spark, [tree / "src/app/auth.py"])
+    assert len(calls) == 1 and ("src/app/new.py", "src/app/auth.py") in {(r.src, r.dst) for r in third.edges.collect()}
+    (tree / "src/app/new.py").unlink()
+    assert len(build_pack(spark, [tree / "src/app/auth.py"]).edges.collect()) == len(edges) and len(calls) == 2
+    (tree / "tsconfig.json").write_text("{}")
+    assert "graph_build" in build_pack(spark, [tree / "src/app/auth.py"]).timings and len(calls) == 3
+
+
 def test_focused(spark, tree):
     rows = by_path(build_pack(spark, [tree / "src/app/auth.py"]))
     assert rows["src/app/auth.py"]["score"] == 100
@@ -98,3 +131,26 @@ def test_text_forms():
     assert reports.tree_text(["b/c.py", "a.py", "b/a/x.py"]) == "├── a.py\n└── b\n    ├── a\n    │   └── x.py\n    └── c.py"
     assert reports.fence("a ```` b") == "`````" and reports.numbered("x\nclass A:\n", "F001", "python") == "0001 x\n# @F001:A\n0002 class A:"
     assert fixtures.values(".go").count("(") >= 3
+
+
+def test_js_aliases():
+    read = extract.js_aliases
+    assert read('{"compilerOptions": {"paths": {"": ["x"], "@lib/*": ["lib\\\\deep/*"], "~/*": ["y/*"]}}}', '{"imports": {"#u/*": "./util/*", "#o": {"a": 1}, "z": "q"}}') == {"@lib": "lib/deep", "#u": "util/*"}
+    for broken in (None, "", "[]", "{", '{"compilerOptions": 3}', '{"compilerOptions": {"paths": []}}', '{"imports": [1]}'):
+        assert read(broken, broken) == {}
+
+
+def test_exact_tokens(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    import base64
+
+    import tiktoken
+    from ctxgraph.functions import text as T
+
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb") if line.strip())}
+    lib = tiktoken.Encoding("x", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [None, "", "def f(x): return x", "größer 中文 " * 50]
+    df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "k long, text string, n_tokens int")
+    got = {r.k: r for r in T.exact_tokens(df, vocabulary=path, pattern=tokenizers.PATTERN).collect()}
+    assert [got[i].n_tokens for i in range(4)] == [len(lib.encode_ordinary(t or "")) for t in texts] and list(got[0].asDict()) == ["k", "text", "n_tokens"]
