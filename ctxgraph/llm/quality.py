@@ -2,7 +2,8 @@
 
 Evidence: a logistic classifier over features of the whole text (shares of character classes, word and line statistics,
 repetition, and hashed words) gives each document a log-likelihood ratio of being good. It is fitted on at
-most ``FIT_DOCS`` labelled documents of each class outside the held-out fold (crc32(doc_id as text) mod 5 = 0).
+most ``FIT_DOCS`` labelled documents of each class outside the held-out fold (crc32(doc_id as text) mod 5 = 0), of which
+those of over ``FIT_BYTES`` bytes are left out, so that fitting takes bounded memory; every document is assessed whole.
 
 Hierarchy: every document adds its classifier probability to its host and, below that, to its path. Hosts are shrunk
 toward the global mean and paths toward their host: with n documents and mean m, the posterior is (n m + s p) / (n + s),
@@ -11,7 +12,8 @@ sparse sites stay near their parent and large ones go by their own documents. Th
 classifier's likelihood ratio times the prior odds of the path, tempered by ``TRUST``.
 
 A null host or path is a group of its own. Null and empty texts have the features of an empty text. Without labelled rows
-of both classes the ratio is 0 and scores are the priors, which then equal the base rate. Rows are kept one for one.
+of both classes the ratio is 0 and scores are the priors, which then equal the base rate. Rows are kept one for one,
+repeated ones each counted in their groups. Columns other than id, text, host and path are left out, whatever their names.
 
 Scale: texts are read once and only (id, host, path, evidence) is kept. Sums are pre-aggregated before the shuffle, hosts
 from the sums of their paths. Group posteriors go back by broadcast where the table has at most ``SMALL`` paths;

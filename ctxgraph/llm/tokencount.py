@@ -4,8 +4,9 @@ Semantics: ``n_tokens`` is what the ``tokenizers`` library gives for the whole t
 added special tokens, with special strings inside a text treated as the library's default does, no truncation and no
 padding. Null texts count as empty (0 tokens, 0 bytes). Rows are kept one for one; repeated rows count alike.
 
-The vocabulary's normalizer and pre-tokenizer never join anything over a space or a line end, so a text is cut there into
-chunks. Tier one is a broadcast table of frequent chunks with their token counts (a blob of strings and a vector of
+The normalizer and pre-tokenizer of ``NORMALIZER`` and ``SPLIT`` never join anything over a space or a line end, so with a
+vocabulary of these a text is cut there into chunks; with any other, the library counts whole texts. Texts of any length are
+counted whole. A column named as the result is replaced. Tier one is a broadcast table of frequent chunks with their token counts (a blob of strings and a vector of
 16-bit counts). It is fitted on a bounded sample of documents (``fit_docs``) and holds at most ``table_size``
 chunks, so its size doesn't grow with the data; it decides speed alone, never a count. Tier two is a bounded cache in
 each worker, which encodes what it misses with the library.
@@ -13,6 +14,7 @@ each worker, which encodes what it misses with the library.
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from itertools import filterfalse
@@ -27,8 +29,37 @@ from .bpe import _q, portions, texts_of
 
 FIT_DOCS, TABLE_SIZE, CACHE, LIMIT = 2_000, 65_536, 250_000, 2_048
 LONG = 64
+#: What the cutting into chunks relies on: white space is a blank before anything else sees it, and splits.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 _counters: dict = {}
+_tokenizers: dict = {}
+
+
+def load(path: str):
+    """(the library's tokenizer of a file, whether texts may be cut into chunks), kept by the process."""
+    if path not in _tokenizers:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        own.no_truncation()
+        own.no_padding()
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        plain = form.get("normalizer") == NORMALIZER and form.get("pre_tokenizer") == SPLIT and form.get("post_processor") is None
+        added = form.get("added_tokens") or []
+        cuts = plain and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or any(c.isspace() for c in a["content"]) for a in added)
+        _tokenizers.clear()
+        _tokenizers[path] = own, cuts
+    return _tokenizers[path]
 
 
 def chunks_of(text: str) -> list[str]:
@@ -39,17 +70,12 @@ class Counts:
     """Tier one and the worker's cache in one mapping from chunk to number of tokens."""
 
     def __init__(self, path: str, frequent: tuple[bytes, bytes], size: int = CACHE):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer, self.cuts = load(path)
         blob, lengths = frequent
         self.frequent = dict(zip(blob.decode().split("\n"), np.frombuffer(lengths, "<u2").tolist())) if blob else {}
         self.frequent[""] = 0
         self.known, self.size = dict(self.frequent), size + len(self.frequent)
-        self.stops = dict(zip(",.", self.library([",", "."])))
+        self.stops = dict(zip(",.", self.library([",", "."]))) if self.cuts else {}
 
     def library(self, chunks: list[str]) -> list[int]:
         return [len(x.ids) for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -68,6 +94,8 @@ class Counts:
             known[c] = known[w] + self.stops[c[-1]]
 
     def count_all(self, texts: list[str]) -> list[int]:
+        if not self.cuts:
+            return self.library(texts)
         if len(self.known) > self.size:
             self.known = dict(self.frequent)
         known, missing, cut = self.known, set(), []
@@ -84,7 +112,10 @@ class Counts:
 
 
 def fit(docs: DataFrame, path: str, text: str = "text", fit_docs: int = FIT_DOCS, table_size: int = TABLE_SIZE) -> tuple[bytes, bytes]:
-    """The broadcast table: the most frequent chunks of about ``fit_docs`` documents, counted where they lie."""
+    """The broadcast table: the most frequent chunks of about ``fit_docs`` documents, counted where they lie; empty where
+    texts aren't cut into chunks."""
+    if not load(path)[1]:
+        return b"", b""
     n = docs.count()
     sample = docs.select(_q(text).alias("text")).sample(min(1.0, fit_docs / max(n, 1)), 7) if n > fit_docs else docs.select(_q(text).alias("text"))
 
