@@ -10,10 +10,10 @@ smallest hash of the id) of at most ``FIT_BYTES`` bytes, so that it takes the sa
 from smoothed log odds of the buckets; each document then learns from its most suspicious windows, chosen anew twice.
 The decision boundary is set on the training documents. Labels, language, source and id are never inputs of a score.
 
-Null and empty texts, and texts without words, score as a window without words does: below 0.5 unless the training rows
-are all toxic. Without labelled rows of both classes every score is the share of toxic rows (0 without any). Repeated
-rows get the same score; rows are kept one for one. Labels other than 0 and 1 are ignored; of several labels of one
-document the largest counts.
+Null and empty texts, and texts without words, score 0: nothing stands in them. Without labelled rows of both classes every
+score is the share of toxic rows (0 without any). Repeated rows get the same score; rows are kept one for one. Labels
+other than 0 and 1 are ignored; of several labels of one document the largest counts. Texts of any length are scored whole.
+A column named as the result is replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -274,7 +274,7 @@ def score_column(net: Network | float, column: pa.Array) -> np.ndarray:
             s = slice(k, k + 4096)
             at = begin[s][:, None] + np.arange(WINDOW)
             idx = np.where(np.arange(WINDOW) < size[s][:, None], places[np.minimum(at, len(place))], len(x) - 1)
-            np.maximum.at(out, first + row[s], net.run(x, idx, size[s]).astype(float))
+            np.maximum.at(out, first + row[s], np.where(size[s] > 0, net.run(x, idx, size[s]).astype(float), -np.inf))
     return 1 / (1 + np.exp(-np.clip(out - net.shift, -700, 700)))
 
 

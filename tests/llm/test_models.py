@@ -130,6 +130,68 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("toxicity <> 0").isEmpty()
 
 
+def naive_score(net: toxicity.Network, text: str | None) -> float:
+    """A text's score by loops over its windows, words, bytes and steps, from the parameters alone."""
+    import re
+
+    whole, prime = 1 << 64, 0x9E3779B97F4A7C15 | 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % whole
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % whole
+        return x ^ x >> 31
+
+    def vector(word):
+        raw = word.encode()
+        own = mix(sum((b + 1) * pow(prime, i, whole) for i, b in enumerate(raw)) % whole) % toxicity.WORDS
+        padded = b"\x01" + raw + b"\x02" * 4
+        grams = []
+        for k in range(max(1, len(raw) - 1)):
+            total = 0
+            for b in padded[k : k + 4]:
+                total = (total * 257 + b + 1) % whole
+            grams.append(mix(total) % toxicity.GRAMS)
+        return np.concatenate((net.p["Ew"][own], sum(net.p["Ec"][g] for g in grams) / np.sqrt(len(grams)))).astype(float)
+
+    s = lambda x: 1 / (1 + np.exp(-x))
+    p, h = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    words = [vector(w) for w in re.findall(r"\w+", (text or "").lower())]
+    begins = range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+    logits = []
+    for begin in begins:
+        window = words[begin : begin + toxicity.WINDOW]
+        if not window:
+            return 0.0
+        states = np.zeros((len(window), 2 * h))
+        for d, name in enumerate("fb"):
+            state = np.zeros(h)
+            for t in range(len(window)) if d == 0 else reversed(range(len(window))):
+                gx, gh = window[t] @ p["W" + name] + p["b" + name], state @ p["U" + name]
+                z, r = s(gx[:h] + gh[:h]), s(gx[h : 2 * h] + gh[h : 2 * h])
+                new = np.tanh(gx[2 * h :] + r * (gh[2 * h :] + p["c" + name]))
+                state = (1 - z) * new + z * state
+                states[t, d * h : d * h + h] = state
+        e = np.exp(np.tanh(states @ p["Wa"] + p["ba"]) @ p["va"])
+        logits.append(float((e / e.sum()) @ states @ p["wo"] + p["bo"][0]))
+    return float(s(max(logits) - net.shift))
+
+
+def test_scores_against_a_naive_forward_pass(spark):
+    rng = random.Random(12)
+    net = toxicity.Network(np.random.default_rng(3))
+    net.shift = 0.2
+    words = ["a", "is", "größe", "word_9", "toxicword", "x" * 40, "mid"]
+    texts = [None, "", "?!", "one", *(" ".join(rng.choices(words, k=n)) for n in (2, 63, 64, 65, 112, 113, 160, 700)), "one"]
+    docs = spark.createDataFrame([(i, t, 1, "l") for i, t in enumerate(texts)], "doc_id long, text string, toxicity int, score string")
+    got = {r.doc_id: r for r in toxicity.score(docs, net).collect()}
+    assert len(got) == len(texts) and all(r.score == "l" for r in got.values())
+    for i, t in enumerate(texts):
+        assert got[i].toxicity == pytest.approx(naive_score(net, t), abs=2e-5), i
+    assert toxicity.score(docs.limit(0), net).count() == 0
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.fit(docs.limit(0), labels) == 0.0 and toxicity.fit(docs, labels.limit(0)) == 0.0
+
+
 def test_window_maxima_at_every_size():
     rng = np.random.default_rng(5)
     begin = np.arange(0, 450_000 * 48, 48)  # over 400 000 windows of 64 every 48
@@ -191,6 +253,44 @@ def test_quality(spark):
     assert quality.assess(docs.limit(0), labels, docs.host, docs.path).count() == 0
 
 
+def test_quality_posteriors_against_plain_sums(spark):
+    """Host and path posteriors and scores from the evidence alone, by loops; with nulls, ties, repeated rows and clashing
+    columns."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["good", "fine", "word", "x1", "!!"], k=rng.randint(0, 40))), rng.choice(["a", "b", "b", "b", None]), rng.choice(["p", "q", None])) for i in range(160)]
+    rows += [rows[5]] * 3 + [(500, "lone", "c", "p"), (501, None, "c", "r"), (None, "no id", "a", "p"), (502, "big " * 50_000, "d", "p")]
+    docs = spark.createDataFrame([(*r, "k", 2) for r in rows], "doc_id long, text string, host string, path string, evidence string, n int")
+    labels = spark.createDataFrame([(i, int("good" in t)) for i, t, *_ in rows[:120]], "doc_id long, quality int")
+    out = quality.assess(docs, labels, docs.host, docs.path).collect()
+    assert len(out) == len(rows)
+    known = {i: y for i, y in ((r.doc_id, r.quality) for r in labels.collect()) if zlib.crc32(str(i).encode()) % 5}
+    base = (sum(known.values()) + 1) / (len(known) + 2)
+    center = np.log(base / (1 - base))
+    groups, hosts = {}, {}
+    for r in out:
+        p = round(float(1 / (1 + np.exp(-(r.evidence + center)))), 9)
+        groups.setdefault((r.host, r.path), []).append(p)
+        hosts.setdefault(r.host, []).append(p)
+
+    def strength(parts):
+        parts = [(len(x), sum(x) / len(x), p) for x, p in parts if len(x) > 1]
+        n = sum(k for k, *_ in parts)
+        within = sum(k * p * (1 - p) for k, _, p in parts) / n
+        between = sum(k * (m - p) ** 2 for k, m, p in parts) / n - within * len(parts) / n
+        return min(1e6, max(1.0, within / between - 1)) if between > 0 else 1e6
+
+    every = [p for x in hosts.values() for p in x]
+    mean = sum(every) / len(every)
+    s = strength([(x, mean) for x in hosts.values()])
+    host = {k: (sum(x) + s * mean) / (len(x) + s) for k, x in hosts.items()}
+    t = strength([(x, host[k[0]]) for k, x in groups.items()])
+    path = {k: (sum(x) + t * host[k[0]]) / (len(x) + t) for k, x in groups.items()}
+    for r in out:
+        q = path[r.host, r.path]
+        score = 1 / (1 + np.exp(-(r.evidence + center + quality.TRUST * (np.log(q / (1 - q)) - center))))
+        assert (r.host_prior, r.path_prior, r.score) == pytest.approx((host[r.host], q, score), rel=1e-6)
+
+
 def brute(doc: str | None, item: str | None) -> float:
     """Best share of an item's runs of words in the windows of a document."""
     import re
