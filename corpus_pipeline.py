@@ -1,7 +1,8 @@
 """Cleaning of a document table in stages: toxicity, near-duplicates, benchmark passages, personal data, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of its predecessor and returns a DataFrame; all but the last
-return the columns of ``documents``. ``n_chars`` follows the text where a stage changes it.
+return the columns of ``documents``. ``n_chars`` follows the text where a stage changes it. Rows with a null in any column
+are kept unless a decision is against their text; further columns pass all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,11 +14,20 @@ from ctxgraph import session
 from ctxgraph.llm import bpe, decontam, neardup, pii, toxicity
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go. The model learns from the labels of the rows at hand."""
+    """Documents that score 0.5 or more go. The model learns from the labels of the rows at hand. Null and empty texts score
+    below 0.5 and stay."""
     session.ship(spark)
     net = toxicity.fit(docs, session.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net).where("toxicity < 0.5").select(*docs.columns)
+    out = _unused(docs, "toxicity")
+    return toxicity.score(docs, net, out=out).where(F.col(out) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,21 +38,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go. Null and empty texts contain none."""
     session.ship(spark)
-    return decontam.find(docs, session.table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*docs.columns)
+    out = _unused(docs, "leaks")
+    return decontam.find(docs, session.table(spark, sf_dir, "benchmark"), out=out).where(F.size(out) == 0).select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gets pseudonyms of the same form; no document goes."""
+    """Personal data gets pseudonyms of the same form; no document goes, null texts stay null."""
     session.ship(spark)
-    out = pii.pseudonymise(docs, pii.key_of(spark))
-    return out.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    spans = _unused(docs, "pii_spans")
+    out = pii.pseudonymise(docs, pii.key_of(spark), spans=spans)
+    return out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, packed as little-endian unsigned 32-bit integers, with their number, in place of the text; decoded
-    again to show the round trip."""
+    again to show the round trip. A null text has none; further columns are left out."""
     session.ship(spark)
     return bpe.encode(docs, decoded="decoded").select(
         "doc_id", "lang", "source", "n_chars",
