@@ -195,16 +195,21 @@ def order() -> list:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """``rank`` from 1 in the total order, without one task numbering all rows: partitions by range are numbered within
-    and moved by the counts before them."""
+    """``rank`` from 1 in the total order."""
+    return numbered(rows, order(), "rank")
+
+
+def numbered(rows: DataFrame, by: list, name: str) -> DataFrame:
+    """Places from 1 in an order, without one task numbering all rows: partitions by range are numbered within and moved by
+    the counts before them."""
     from ..session import cut
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut(rows, "ranked")  # ranging reads its input twice
-    own = cut(rows.repartitionByRange(n, *order()).withColumn("part", F.spark_partition_id()), "ranked")
+    rows = cut(rows, "numbered")  # ranging reads its input twice
+    own = cut(rows.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()), "numbered")
     counts = {r.part: r.n for r in own.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each partition
     before, total = {}, 0
     for part in sorted(counts):
         before[part], total = total, total + counts[part]
     offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("part")) if before else F.lit(0)
-    return own.withColumn("rank", (F.row_number().over(Window.partitionBy("part").orderBy(*order())) + offset).cast("long")).drop("part")
+    return own.withColumn(name, (F.row_number().over(Window.partitionBy("part").orderBy(*by)) + offset).cast("long")).drop("part")

@@ -597,4 +597,105 @@ def cache_hits(spark, sf):
     return snapshot.cache_hits(files(spark, sf), cache, "h").select("path")
 
 
+# ---- names, reasons and previews
+
+_NAMED = [
+    ("src/main.py", "entrypoint", None), ("src/tool/cli/main.py", "entrypoint", None), ("a/orchestrator.py", "orchestrator", None), ("a/pack.py", "orchestrator", None), ("a/model.py", "model", None), ("a/config.py", "config", None),
+    ("tests/helper.py", "test", None), ("a/test_x.py", "test", None), ("a/languages/go.py", "language_adapter", None), ("a/graph/walk.py", "graph", None), ("a/ranker.py", "ranker", None), ("a/renderer.py", "renderer", None), ("a/scanner/disk.py", "scanner", None),
+    ("a/fast_native.py", "native_adapter", None), ("rust/x_native/lib.rs", "native_adapter", None), ("README.md", "docs", "documentation"), ("docs/guide.md", "docs", "documentation"), ("package.json", "support", "dependency file"), ("Cargo.toml", "support", "project config"),
+    ("poetry.lock", "support", "dependency file"), ("Dockerfile", "support", "runtime support"), ("docker-compose.yml", "support", "runtime support"), (".github/workflows/ci.yml", "support", "ci support"), (".env.sample", "support", "runtime config"), ("config/app.yaml", "support", "runtime config"),
+    ("tsconfig.json", "support", "tooling config"), ("notes.yaml", "support", "support file"), ("a/plain.py", "unknown", None),
+]
+
+
+@query(_values(_NAMED, "path, role, support_category"))
+def names_of_every_kind(spark, sf):
+    """All roles that a rule gives and all support categories; the expected rows follow the rules by hand."""
+    listed = spark.createDataFrame([(p,) for p, *_ in _NAMED], "path string")
+    every = Config(support_patterns=("**/*.md", "**/*.json", "**/*.toml", "**/*.lock", "**/*.yml", "**/*.yaml", "**/Dockerfile", "**/.env*"))
+    return classify.classify(listed, every).select("path", T.role(F.col("path"), F.col("kind"), F.col("language")).alias("role"), "support_category")
+
+
+_PHRASE = """CASE kind WHEN 'direct_dependency' THEN 'imports ' WHEN 'reverse_dependency' THEN 'imported by ' END"""
+_WORDED = "CASE kind WHEN 'name_similarity' THEN 'name similarity' WHEN 'parent_entrypoint' THEN 'parent entrypoint' WHEN 'project_support' THEN 'project support file' WHEN 'related_test' THEN 'related test' WHEN 'same_package' THEN 'same package' WHEN 'seed_file' THEN 'seed file' WHEN 'support_near_seed' THEN 'support file' END"
+_TURN = "CASE kind WHEN 'seed_file' THEN 1 WHEN 'direct_dependency' THEN 2 WHEN 'reverse_dependency' THEN 3 WHEN 'same_package' THEN 4 WHEN 'parent_entrypoint' THEN 5 WHEN 'related_test' THEN 6 WHEN 'name_similarity' THEN 7 ELSE 8 END"
+
+
+@query(f"""WITH {_FOCUS_BASE}, k AS (SELECT path, kind, count(*) AS n, min(seed) AS example, {_TURN} AS turn FROM r GROUP BY path, kind),
+x AS (SELECT path, turn, CASE WHEN {_PHRASE} IS NULL THEN {_WORDED} WHEN n > 1 THEN {_PHRASE} || n || ' included files' ELSE {_PHRASE} || regexp_extract(example, '([^/]+)$', 1) END AS phrase FROM k),
+t AS (SELECT path, count(DISTINCT seed) > 1 AS shared FROM r GROUP BY path)
+SELECT x.path, string_agg(phrase, '; ' ORDER BY turn) || CASE WHEN any_value(shared) THEN '; shared dependency bonus' ELSE '' END AS reason_summary FROM x JOIN t USING (path) GROUP BY x.path""")
+def focused_reason_texts(spark, sf):
+    f, e, s = _focused(spark, sf)
+    return scoring.merge(scoring.focused_reasons(f, e, s)).select("path", "reason_summary")
+
+
+@query(f"""WITH RECURSIVE e AS ({_FK}), {_NODES}, w(node, d) AS (SELECT node, 0 FROM n UNION SELECT e.dst, w.d + 1 FROM w JOIN e ON e.src = w.node), l AS (SELECT node, max(d) AS layer FROM w GROUP BY node),
+k AS (SELECT layer, node, row_number() OVER (PARTITION BY layer ORDER BY node) AS k, count(*) OVER (PARTITION BY layer) AS n FROM l)
+SELECT layer, any_value(n) AS n, string_agg(node, ', ' ORDER BY k) || CASE WHEN any_value(n) > 8 THEN ', +' || (any_value(n) - 8) || ' more' ELSE '' END AS preview FROM k WHERE k <= 8 GROUP BY layer""")
+def layer_previews(spark, sf):
+    return report.layer_preview(graph.topological_layers(run(spark, sf, _FK)))
+
+
+@query(f"WITH r AS ({_RANKED}), f AS (SELECT * FROM r WHERE contains(lower(path), 'sub/m1') ORDER BY rank LIMIT 1), e AS ({D_EDGES}) SELECT f.path, f.score, e.src, e.kind FROM f LEFT JOIN e ON e.dst = f.path")
+def why_included(spark, sf):
+    """The first candidate whose path holds a text, with the edges that lead to it."""
+    found, links = report.why(_ranked(spark, sf), edges(spark, sf), "SUB/M1", [F.col("rank")])
+    return found.select("path", "score").join(links.select(F.col("dst").alias("path"), "src", "kind"), "path", "left")
+
+
+_NOTED = f"SELECT path, rank, tokens, CASE WHEN rank % 5 = 0 THEN 'tree' WHEN rank % 3 = 0 THEN 'outline' WHEN rank % 2 = 0 THEN 'excerpt' ELSE 'full' END AS content_mode, CAST(tokens // 8 AS BIGINT) AS outline_tokens, CAST(rank % 4 AS BIGINT) AS n_symbols FROM ({_RANKED}) r"
+
+
+def _noted(spark, sf) -> DataFrame:
+    r = F.col("rank")
+    mode = F.when(r % 5 == 0, "tree").when(r % 3 == 0, "outline").when(r % 2 == 0, "excerpt").otherwise("full")
+    return _ranked(spark, sf).select("path", "rank", F.col("tokens").alias("token_estimate"), mode.alias("content_mode"), F.expr("tokens DIV 8").alias("outline_tokens"), (r % 4).alias("n_symbols"))
+
+
+_SETTLE = "CASE WHEN k.content_mode = 'excerpt' AND k.n_symbols = 0 THEN CASE WHEN g.actual + k.tokens <= 60000 THEN 'full' ELSE 'tree' END ELSE k.content_mode END"
+_USED = f"CASE WHEN k.content_mode = 'full' THEN k.tokens WHEN k.content_mode = 'excerpt' AND k.n_symbols = 0 THEN CASE WHEN g.actual + k.tokens <= 60000 THEN k.tokens ELSE 0 END WHEN k.content_mode IN ('excerpt', 'outline') THEN k.outline_tokens ELSE 0 END"
+
+
+@query(f"""WITH RECURSIVE k AS MATERIALIZED ({_NOTED}), g(rank, content_mode, tokens, actual) AS (SELECT 0::BIGINT, '', 0::BIGINT, 0::BIGINT UNION ALL SELECT k.rank, {_SETTLE}, {_USED}, g.actual + {_USED} FROM g JOIN k ON k.rank = g.rank + 1)
+SELECT k.path, g.content_mode, g.tokens, g.actual FROM k JOIN g USING (rank)""")
+def settled_modes(spark, sf):
+    return budget.settle(_noted(spark, sf), [F.col("rank")], 60_000)
+
+
+@query(f"WITH c AS ({D_CLASSIFIED}) SELECT count(*) FILTER (m.content_mode = 'excerpt' AND m.n_symbols = 0) AS n_empty_excerpts, count(*) FILTER ({_ROLE} = 'unknown') AS n_unknown_roles FROM c JOIN ({_NOTED}) m USING (path)")
+def pack_warnings(spark, sf):
+    role = T.role(F.col("path"), F.col("kind"), F.col("language"))
+    return report.warnings(_noted(spark, sf).join(files(spark, sf), "path").withColumn("role", role))
+
+
+_UTILITY = f"SELECT path, round({_ROLE_SCORE} / sqrt({_BYTES} + 200), 6) AS utility, {_SNAP} AS score FROM ({D_CLASSIFIED}) c"
+
+
+@query(f"SELECT path, row_number() OVER (ORDER BY utility DESC, score DESC, path) AS place FROM ({_UTILITY}) u")
+def ranker_order(spark, sf):
+    """Places in the ranker's order: utility, then score, then path."""
+    f = scoring.snapshot_scores(files(spark, sf))
+    role = T.role(F.col("path"), F.col("kind"), F.col("language"))
+    tokens = T.tokens_from_bytes(F.col("size_bytes"), F.col("language"))
+    own = f.select("path", F.round(T.role_score(role) / F.sqrt(tokens + 200), 6).alias("utility"), "score")
+    return scoring.numbered(own, ranking.order(), "place").select("path", "place")
+
+
+@query(_values([("src/app.ts", "lib/deep/util.js"), ("src/app.ts", "util/x.ts")], "src, dst"))
+def aliased_imports(spark, sf):
+    """Specifiers under aliases read from project files; the expected rows are derived by hand."""
+    known = spark.createDataFrame([("src/app.ts",), ("lib/deep/util.js",), ("util/x.ts",), ("util/y.ts",)], "path string")
+    specs = spark.createDataFrame([("src/app.ts", "@lib/deep/util"), ("src/app.ts", "#u/x"), ("src/app.ts", "@none/y"), ("src/app.ts", "lib/deep/util")], "src string, spec string")
+    return extract.js_edges(known, specs, extract.js_aliases('{"compilerOptions": {"paths": {"@lib/*": ["lib/*"]}}}', '{"imports": {"#u/*": "./util"}}'))
+
+
+@query(f"SELECT path, '{extract.GENERIC_NOTE}' AS note, {extract.GENERIC_TOKENS} AS token_estimate FROM ({D_CLASSIFIED}) c JOIN documents d USING (doc_id) WHERE language <> 'python'")
+def generic_outlines(spark, sf):
+    """Outlines of files in languages without an extractor."""
+    f = files(spark, sf).where("language <> 'python'")
+    texts = f.select("doc_id", "path").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id").select("path", "text")
+    return extract.outlines(f, texts).select("path", F.array_join("notes", ", ").alias("note"), "token_estimate")
+
+
 __all__ = ["ORACLES", "QUERIES", "corpora"]
