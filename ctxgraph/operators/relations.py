@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions import text as T
+from ..session import cut, drop_cut
 
 EDGE = "src string, dst string, kind string, weight double, confidence double, evidence string, line int, analyzer string"
 #: weight and confidence by kind
@@ -21,6 +22,8 @@ STRENGTH = {
     "inherits": (0.7, 0.75), "same_package": (0.5, 1.0), "test_of": (0.85, 0.9), "type_reference": (0.55, 0.7),
 }
 PACKAGE_MOST = 8
+#: Of shared keys: paths compared as one, paths of a block, pairs of a task, tasks at most (beyond, each makes more).
+KEY_CHUNK, KEY_BLOCK, KEY_TASK, KEY_TASKS = 256, 4096, 1 << 23, 20_000
 
 
 def edges(pairs: DataFrame, kind: str, analyzer: str, evidence=None, line=None) -> DataFrame:
@@ -73,14 +76,41 @@ def env_keys(text) -> F.Column:
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
+def shared_keys(keys: DataFrame, chunk: int = KEY_CHUNK, block: int = KEY_BLOCK, task: int = KEY_TASK) -> DataFrame:
     """(src, dst, evidence) of all ordered pairs of different paths that share a key, with the smallest key.
 
-    Each pair is part of the result, so a key of n paths makes n (n - 1) rows; AQE splits hot keys.
+    Each pair is part of the result, so a key of n paths makes n (n - 1) rows. A path brings to each of its keys the numbers of
+    its smaller ones, and a pair is made at the one key below which its two paths share none; so no pair is shuffled. Only where
+    that moves more, as a path of m keys brings m (m - 1) / 2 numbers (long lists of keys that few paths share), are the pairs by
+    key aggregated by pair.
+    Paths with the same shared keys are compared as one, ``chunk`` at a time, and spread only in the result. The paths of a
+    hot key are laid out in blocks of about ``block``, each pair of blocks a group of its own; a task makes about ``task`` pairs.
+    Only the paths of keys beyond a block are sent more than once for a key: n / ``block`` times to either side.
     """
-    k = keys.select("path", "key").distinct()
-    a, b = k.select(F.col("path").alias("src"), "key"), k.select(F.col("path").alias("dst"), "key")
-    return a.join(b, "key").where("src <> dst").groupBy("src", "dst").agg(F.min("key").alias("evidence"))
+    by_key, same = Window.partitionBy("key"), Window.partitionBy("ks")
+    # both cuts hold numbers fast: rows of files are numbered alike when a task is run again, and both sides see the same ones
+    found = cut(keys.where("path IS NOT NULL AND key IS NOT NULL").select("path", "key").distinct(), "shared_keys")
+    links = found.withColumn("m", F.monotonically_increasing_id())
+    # a number of the key's own, and how many paths have it; keys of one path make no pair
+    links = links.select("path", "key", F.min("m").over(by_key).alias("id"), F.count("*").over(by_key).alias("n")).where("n > 1")
+    own = links.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("key", "id", "n"))).alias("ks"))
+    own = own.withColumn("c", F.floor((F.row_number().over(same.orderBy("path")) - 1) / chunk))
+    classes = cut(own.groupBy("ks", "c").agg(F.collect_list("path").alias("paths")).select("ks", "paths"), "shared_keys")
+    drop_cut(found)
+    # ordered pairs by key, and numbers that paths bring to their keys
+    total = classes.agg(F.sum(F.size("paths").cast("double") * F.aggregate("ks", F.lit(0.0), lambda s, k: s + k.n)).alias("pairs"), F.sum(F.pow(F.size("ks"), F.lit(2))).alias("numbers")).first()
+    pairs = total.pairs or 0
+    if pairs <= (total.numbers or 0):
+        k = classes.select(F.explode("paths").alias("path"), "ks.key").select("path", F.explode("key").alias("key"))
+        a, b = k.select(F.col("path").alias("src"), "key"), k.select(F.col("path").alias("dst"), "key")
+        return a.join(b, "key").where("src <> dst").groupBy("src", "dst").agg(F.min("key").alias("evidence"))
+    blocks = F.ceil(F.col("k.n") / block)
+    at = classes.select("paths", F.col("ks.id").alias("ids"), F.posexplode("ks").alias("p", "k")).select("k.key", "k.id", "paths", F.slice("ids", F.lit(1), F.col("p")).alias("smaller"), blocks.alias("blocks"), F.pmod(F.xxhash64(F.col("paths")[0]), blocks).alias("own"))
+    each, tasks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), min(max(int(pairs / task) + 1, 1), KEY_TASKS)
+    a = at.select("id", F.col("own").alias("i"), each.alias("j"), "key", F.col("paths").alias("srcs"), F.col("smaller").alias("sa")).repartition(tasks, "id", "i", "j")
+    b = at.select("id", each.alias("i"), F.col("own").alias("j"), F.col("paths").alias("dsts"), F.col("smaller").alias("sb")).repartition(tasks, "id", "i", "j")
+    met = a.join(b.hint("merge"), ["id", "i", "j"]).where(~F.arrays_overlap("sa", "sb"))
+    return met.select(F.explode("srcs").alias("src"), "dsts", "key").select("src", F.explode("dsts").alias("dst"), F.col("key").alias("evidence")).where("src <> dst")
 
 
 def env_key(files: DataFrame, texts: DataFrame) -> DataFrame:
